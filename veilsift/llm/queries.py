@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, source_mix
+from . import quality_rules, secret_scan, source_mix
 from .staging import checkpoint
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,19 @@ MIX_SQL = r"""
     a AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id::VARCHAR ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior FROM k)
     SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN rest > 0 AND prior + size / 2 <= need THEN 1 ELSE 0 END))::BIGINT AS taken FROM a"""
 ORACLE["op9_source_mix"] = MIX_SQL
+
+
+@query
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"), "text", ["doc_id"])
+    base = ("assign", "access", "hex")
+    of = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
+    joined = lambda spans: F.array_join(F.transform(spans, of), ",")
+    return found.select(
+        "doc_id",
+        *[count(k).alias(f"n_{k}") for k in base],
+        F.sha2(joined(F.filter("secrets", lambda s: s["kind"].isin(*base))), 256).alias("base_sha256"),
+        joined(F.col("secrets")).alias("spans"),
+        F.size("secrets").cast("long").alias("n_spans"),
+    )
