@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, secret_scan, source_mix
+from . import quality_rules, secret_scan, source_mix, token_table, tokenizer_files
 from .staging import checkpoint
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         joined(F.col("secrets")).alias("spans"),
         F.size("secrets").cast("long").alias("n_spans"),
     )
+
+
+@query
+def op3_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = token_table.write_tables(table(spark, sf_dir, "documents"), tokenizer_files.path("byte_bpe_50k.json"))
+    stored = token_table.read_tables(spark, shards)
+    return stored.select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
