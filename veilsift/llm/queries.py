@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, secret_scan, source_mix, token_table, tokenizer_files
+from . import piece_codec, quality_rules, secret_scan, source_mix, token_table, tokenizer_files
 from .staging import checkpoint
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,20 @@ def op3_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = token_table.write_tables(table(spark, sf_dir, "documents"), tokenizer_files.path("byte_bpe_50k.json"))
     stored = token_table.read_tables(spark, shards)
     return stored.select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def piece_digests(encoded: DataFrame, *carry: str) -> DataFrame:
+    return encoded.select(
+        *carry,
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.element_at("ends", -1).cast("long").alias("n_source_bytes"),
+        F.xxhash64("begins", "ends").alias("spans_hash"),
+    )
+
+
+@query
+def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = piece_codec.encode(table(spark, sf_dir, "documents"), tokenizer_files.path("piece_bpe_32k.model"), "text", ["doc_id"])
+    return piece_digests(encoded, "doc_id")
