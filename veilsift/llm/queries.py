@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import piece_codec, quality_rules, secret_scan, source_mix, token_table, tokenizer_files
+from . import parity_join, piece_codec, quality_rules, secret_scan, source_mix, token_table, tokenizer_files
 from .staging import checkpoint
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,8 @@ def piece_digests(encoded: DataFrame, *carry: str) -> DataFrame:
 def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = piece_codec.encode(table(spark, sf_dir, "documents"), tokenizer_files.path("piece_bpe_32k.model"), "text", ["doc_id"])
     return piece_digests(encoded, "doc_id")
+
+
+@query
+def op8_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.similar_groups(table(spark, sf_dir, "documents"), n=4, num=85, den=100).select("doc_id", "n_shingles", "component_id", "n_links")

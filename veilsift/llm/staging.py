@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -32,3 +33,9 @@ def stage(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/veilsift-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files of plans that are no longer referenced, instead of at its next full collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
