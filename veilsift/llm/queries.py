@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import parity_join, piece_codec, quality_rules, secret_scan, source_mix, token_table, tokenizer_files
+from . import parity_join, piece_codec, quality_rules, secret_scan, source_mix, token_table, tokenizer_files, toxic_spans
 from .staging import checkpoint
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +135,13 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.similar_groups(table(spark, sf_dir, "documents"), n=4, num=85, den=100).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+@query
+def op7_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    labels = table(spark, sf_dir, "labels").filter(~held_out & F.col("toxic").isNotNull())
+    model = toxic_spans.train(docs, labels)
+    scored = toxic_spans.score(docs, model, "text", ["doc_id"])
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("toxic_spans").cast("long").alias("n_spans"))
