@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import parity_join, piece_codec, quality_rules, secret_scan, source_mix, token_table, tokenizer_files, toxic_spans
+from . import learned_ann, parity_join, piece_codec, quality_rules, secret_scan, source_mix, token_table, tokenizer_files, toxic_spans
 from .staging import checkpoint
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,3 +145,10 @@ def op7_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxic_spans.train(docs, labels)
     scored = toxic_spans.score(docs, model, "text", ["doc_id"])
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("toxic_spans").cast("long").alias("n_spans"))
+
+
+@query
+def op6_learned_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = learned_ann.fit(vectors)
+    return learned_ann.search(vectors, vectors.filter(F.col("vec_id") % 100 == 0), model, 10)
