@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import learned_ann, parity_join, piece_codec, quality_rules, secret_scan, source_mix, token_table, tokenizer_files, toxic_spans
+from . import learned_ann, parity_join, piece_codec, quality_rules, secret_scan, source_mix, token_table, tokenizer_files, tool_links, toxic_spans
 from .staging import checkpoint
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,3 +152,43 @@ def op6_learned_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     model = learned_ann.fit(vectors)
     return learned_ann.search(vectors, vectors.filter(F.col("vec_id") % 100 == 0), model, 10)
+
+
+def link_digests(linked: DataFrame) -> DataFrame:
+    counts = ("n_calls", "n_linked", "n_invalid", "n_unordered")
+    return linked.select(F.col("conv").alias("conv_id"), "turn", "role", "kind", *counts, "link", "anchor_turn", "level", F.sha2("message", 256).alias("message_sha256"))
+
+
+@query
+def op5_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_digests(tool_links.link(table(spark, sf_dir, "conversations")))
+
+
+@query
+def tool_links_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_digests(tool_links.link(tool_links.seeded(table(spark, sf_dir, "conversations"))))
+
+
+ORACLE["op5_tool_links"] = """
+    SELECT conv_id, turn, role, 'text' AS kind, 0::BIGINT AS n_calls, 0::BIGINT AS n_linked, 0::BIGINT AS n_invalid, 0::BIGINT AS n_unordered,
+           NULL::VARCHAR AS link, turn AS anchor_turn, 0::INT AS level,
+           sha256('{"content":' || to_json(coalesce(text, ''))::VARCHAR || ',"conversation":' || conv_id || ',"role":' || to_json(role)::VARCHAR || ',"turn":' || turn || '}') AS message_sha256
+    FROM conversations"""
+ORACLE["tool_links_seeded"] = """
+    WITH c AS (SELECT *, regexp_extract(coalesce(text, ''), '[A-Za-z]+') AS word, CASE WHEN role = 'assistant' THEN 'call' WHEN role = 'user' AND turn > 0 THEN 'result' ELSE 'text' END AS kind FROM conversations),
+    k AS (SELECT conv_id, turn FROM c WHERE kind = 'call'), r AS (SELECT conv_id, turn FROM c WHERE kind = 'result' AND turn % 4 <> 2),
+    j AS (SELECT c.*, k2.turn AS needed, r1.turn AS answer, k1.turn AS owner, CASE WHEN k1.turn % 5 <> 3 THEN 0 WHEN k3.turn IS NOT NULL THEN 1 END AS owner_level
+          FROM c LEFT JOIN k k2 ON k2.conv_id = c.conv_id AND k2.turn = c.turn - 2 LEFT JOIN r r1 ON r1.conv_id = c.conv_id AND r1.turn = c.turn + 1
+                 LEFT JOIN k k1 ON k1.conv_id = c.conv_id AND k1.turn = c.turn - 1 LEFT JOIN k k3 ON k3.conv_id = c.conv_id AND k3.turn = c.turn - 3),
+    m AS (SELECT *, CASE WHEN turn % 5 <> 3 THEN 0 WHEN needed IS NOT NULL THEN 1 END AS own_level, kind = 'result' AND turn % 4 <> 2 AND owner IS NOT NULL AS is_linked FROM j)
+    SELECT conv_id, turn, CASE WHEN kind = 'result' THEN 'tool' ELSE role END AS role, kind, (kind = 'call')::BIGINT AS n_calls,
+           CASE kind WHEN 'call' THEN (answer IS NOT NULL)::BIGINT WHEN 'result' THEN is_linked::BIGINT ELSE 0 END AS n_linked,
+           (kind = 'call' AND turn % 3 = 0)::BIGINT AS n_invalid, (kind = 'call' AND own_level IS NULL)::BIGINT AS n_unordered,
+           CASE WHEN kind = 'result' THEN CASE WHEN is_linked THEN 'linked' ELSE 'orphan' END END AS link,
+           CASE WHEN is_linked THEN turn - 1 ELSE turn END AS anchor_turn, (CASE WHEN kind = 'result' THEN 1 + CASE WHEN is_linked THEN coalesce(owner_level, 0) ELSE 0 END ELSE 0 END)::INT AS level,
+           sha256(CASE kind
+             WHEN 'text' THEN '{"content":' || to_json(coalesce(text, ''))::VARCHAR || ',"conversation":' || conv_id || ',"role":' || to_json(role)::VARCHAR || ',"turn":' || turn || '}'
+             WHEN 'result' THEN '{"content":"' || word || '","conversation":' || conv_id || ',"role":"tool","tool_call_id":"c' || CASE WHEN turn % 4 = 2 THEN 'x' ELSE (turn - 1)::VARCHAR END || '","turn":' || turn || '}'
+             ELSE '{"content":null,"conversation":' || conv_id || ',"role":"assistant","tool_calls":[{"arguments":"{\\"limit\\":' || CASE WHEN turn % 3 = 0 THEN '\\"ten\\"' ELSE '10' END || ',\\"query\\":\\"' || word || '\\"}","depends_on":['
+                  || CASE WHEN turn % 5 = 3 THEN '"c' || (turn - 2) || '"' ELSE '' END || '],"id":"c' || turn || '","level":' || coalesce(own_level::VARCHAR, 'null') || ',"name":"search"}],"turn":' || turn || '}' END) AS message_sha256
+    FROM m"""
