@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import learned_ann, parity_join, piece_codec, quality_rules, secret_scan, source_mix, token_table, tokenizer_files, tool_links, toxic_spans
+from . import learned_ann, parity_join, piece_codec, quality_rules, secret_scan, source_mix, substring_dedup, token_table, tokenizer_files, tool_links, toxic_spans
 from .staging import checkpoint
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -192,3 +192,9 @@ ORACLE["tool_links_seeded"] = """
              ELSE '{"content":null,"conversation":' || conv_id || ',"role":"assistant","tool_calls":[{"arguments":"{\\"limit\\":' || CASE WHEN turn % 3 = 0 THEN '\\"ten\\"' ELSE '10' END || ',\\"query\\":\\"' || word || '\\"}","depends_on":['
                   || CASE WHEN turn % 5 = 3 THEN '"c' || (turn - 2) || '"' ELSE '' END || '],"id":"c' || turn || '","level":' || coalesce(own_level::VARCHAR, 'null') || ',"name":"search"}],"turn":' || turn || '}' END) AS message_sha256
     FROM m"""
+
+
+@query
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
