@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from .textcols import LOWER, slices, spans, utf8, word_hashes
 
-MOST_TOXIC, MOST_CLEAN = 2_000, 4_000
+MOST_TOXIC, MOST_CLEAN = 1_000, 2_000
 SLOTS = 1 << 20
 ROW = 256
 SLICE_BYTES = 2 << 20
@@ -131,13 +131,13 @@ def marginals(emission: np.ndarray, first: np.ndarray, step: np.ndarray, start:
 
 def _cover(slots: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Slots that explain toxic documents, by greedy cover; the suffix is no explanation."""
-    pairs = np.unique(np.concatenate([slots[:, k].astype(np.int64) * len(toxic) + doc for k in range(slots.shape[1] - 1)]))
-    slot, where = pairs // len(toxic), pairs % len(toxic)
-    bad = toxic[where]
-    inside, outside = np.bincount(slot[bad], minlength=SLOTS), np.bincount(slot[~bad], minlength=SLOTS)
+    kinds = range(slots.shape[1] - 1)
+    pairs = [np.unique(slots[:, k].astype(np.int64) * len(toxic) + doc) for k in kinds]
+    count = lambda part: sum(np.bincount(p[toxic[p % len(toxic)] == part] // len(toxic), minlength=SLOTS) for p in pairs)
+    inside, outside = count(True), count(False)
     pure = (inside >= 2) & (outside * toxic.sum() * 50 <= inside * max(1, (~toxic).sum()))
-    use = bad & pure[slot]
-    slot, where = slot[use], where[use]
+    pairs = np.concatenate([p[toxic[p % len(toxic)] & pure[p // len(toxic)]] for p in pairs])
+    slot, where = pairs // len(toxic), pairs % len(toxic)
     found, least = [], max(2, int(toxic.sum()) // 500)
     while len(slot):
         gain = np.bincount(slot, minlength=SLOTS)
@@ -207,7 +207,11 @@ def fit(texts: list[str], toxic: list[bool], epochs: int = 4, rate: float = 0.5)
                 grown[k] += g * g
                 steps[k] += rate * g / np.sqrt(grown[k])
     model = Model(weights.astype(np.float32), float(bias), steps[0], steps[1], model.document)
-    x = document_numbers(marginals(model.weights[slots].sum(1) + bias, first, *steps), first)
+    x = []
+    for a in range(0, len(y), 128):
+        at = first[a : a + 129]
+        x.append(document_numbers(marginals(model.weights[slots[at[0] : at[-1]]].sum(1) + bias, at - at[0], *steps), at - at[0]))
+    x = np.concatenate(x)
     model.document = _logistic(x, y.astype(np.float64))
     return model
 
