@@ -150,7 +150,8 @@ def fit(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", **op
     rows = vectors.filter(F.col(key).isNotNull() & usable(F.col(vector))).orderBy(F.xxhash64(key), key).limit(SAMPLE).select(vector).collect()
     sizes = Counter(len(r[0]) for r in rows)
     size = max(sizes, key=lambda s: (sizes[s], s)) if sizes else 0
-    return train(np.array([r[0] for r in rows if len(r[0]) == size], np.float64).reshape(-1, size), **options)
+    sample = [r[0] for r in rows if len(r[0]) == size]
+    return train(np.array(sample, np.float64) if sample else np.zeros((0, 0)), **options)
 
 
 def search(vectors: DataFrame, queries: DataFrame, model: Model, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:

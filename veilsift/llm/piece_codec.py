@@ -184,8 +184,8 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def encode(docs: DataFrame, model: str, text: str = "text", carry: list[str] | None = None, decoded: bool = True) -> DataFrame:
-    """The columns in carry (all but text, if None), ids, begins and ends (arrays), and decoded: decode(ids) if asked for."""
-    carry = [c for c in docs.columns if c != text] if carry is None else carry
+    """The columns in carry (if None, all but text and those named like outputs), ids, begins and ends (arrays), and decoded: decode(ids) if asked for."""
+    carry = [c for c in docs.columns if c not in (text, "ids", "begins", "ends", "decoded")] if carry is None else carry
     ints = T.ArrayType(T.IntegerType())
     added = [("ids", ints), ("begins", ints), ("ends", ints), *([("decoded", T.StringType())] if decoded else [])]
     schema = T.StructType([docs.schema[c] for c in carry] + [T.StructField(n, t) for n, t in added])

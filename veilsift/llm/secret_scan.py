@@ -123,6 +123,12 @@ def _one(op, arg, ignore_case: bool) -> tuple[set[bytes] | None, object]:
 def _sequence(items, ignore_case: bool) -> tuple[set[bytes] | None, object]:
     run, found, whole = {b""}, [], True
     for op, arg in items:
+        if op in (C.MAX_REPEAT, C.MIN_REPEAT) and arg[1] > arg[0] == 1:
+            strings, q = _sequence(arg[2], ignore_case)
+            if strings is not None and len(run) * len(strings) <= _MOST_STRINGS:  # one copy, then perhaps more: what follows has one before it
+                found.append(_of_strings({a + b for a in run for b in strings}))
+                run, whole = strings, False
+                continue
         strings, q = _one(op, arg, ignore_case)
         if strings is not None and len(run) * len(strings) <= _MOST_STRINGS:
             run = {a + b for a in run for b in strings}
@@ -207,8 +213,8 @@ def scan_batch(column: pa.Array, rules: tuple[Rule, ...]) -> list[list[tuple[int
 
 
 def find_secrets(docs: DataFrame, text: str = "text", carry: list[str] | None = None, out: str = "secrets", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The columns in carry (all but text, if None) and an array of spans, by start, then rule order."""
-    carry = [c for c in docs.columns if c != text] if carry is None else carry
+    """The columns in carry (if None, all but text and one named like out) and an array of spans, by start, then rule order."""
+    carry = [c for c in docs.columns if c not in (text, out)] if carry is None else carry
     schema = T.StructType([docs.schema[c] for c in carry] + [T.StructField(out, SPANS)])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -76,8 +76,8 @@ def allocate(docs: DataFrame, size: str = "size", source: str = "source", key: s
     plan = checkpoint(plan.withColumn("rest", F.coalesce(F.try_divide("need", "source_size"), F.lit(0.0))))
 
     def beside(left: DataFrame, right: DataFrame, small: bool) -> DataFrame:
-        right = right.withColumnRenamed("source", "_source")
-        return left.join(F.broadcast(right) if small else right, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+        right = right.withColumnRenamed("source", "_mix_source")
+        return left.join(F.broadcast(right) if small else right, F.col("source").eqNullSafe(F.col("_mix_source"))).drop("_mix_source")
 
     small = plan.limit(MAX_BROADCAST_SOURCES + 1).count() <= MAX_BROADCAST_SOURCES
     ranked = beside(slim, plan.filter("rest > 0").select("source", "need", "rest"), small).select("source", "size", "key", _rank(F.col("odds"), F.col("rest")).alias("rank"))
@@ -98,16 +98,16 @@ def allocate(docs: DataFrame, size: str = "size", source: str = "source", key: s
     edge = last.withColumn("prior", prior).filter(F.col("prior") + F.col("size") / 2 <= F.col("need")).groupBy("source").agg(F.max(F.struct("rank", "key")).alias("edge"))
     taken = cut.select(F.col("source").alias("_s"), "cell").join(edge.withColumnRenamed("source", "_e"), F.col("_s").eqNullSafe(F.col("_e")), "left").drop("_e")
     full = plan.join(taken, F.col("source").eqNullSafe(F.col("_s")), "left").select("source", "source_size", "target", "whole", "rest", "cell", "edge")
-    full = checkpoint(full.select(F.col("source").alias("_source"), F.struct("source_size", "target", "whole", "rest", "cell", "edge").alias("_plan")))
+    full = checkpoint(full.select(F.col("source").alias("_mix_source"), F.struct("source_size", "target", "whole", "rest", "cell", "edge").alias("_mix_plan")))
 
-    rank = _rank(_odds(F.col(key), seed), F.col("_plan.rest"))
+    rank = _rank(_odds(F.col(key), seed), F.col("_mix_plan.rest"))
     cell = F.shiftright(rank, shift)
-    before_edge = F.struct(rank.alias("rank"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key")) <= F.struct(F.col("_plan.edge.rank").alias("rank"), F.coalesce("_plan.edge.key", F.lit("")).alias("key"))
-    drawn = (F.col("_plan.rest") > 0) & ((cell < F.col("_plan.cell")) | (cell == F.col("_plan.cell")) & F.coalesce(before_edge & F.col("_plan.edge").isNotNull(), F.lit(False)))
-    copies = F.col("_plan.whole") + F.coalesce(drawn, F.lit(False)).cast("long")
-    chosen = F.struct(F.col("_plan.source_size").alias("source_size"), F.col("_plan.target").alias("target"), copies.alias("copies"), (copies * F.col(size)).alias("taken"))
-    joined = docs.join(F.broadcast(full) if small else full, F.col(source).cast("string").eqNullSafe(F.col("_source")))
-    return joined.withColumn(out, chosen).drop("_source", "_plan")
+    before_edge = F.struct(rank.alias("rank"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key")) <= F.struct(F.col("_mix_plan.edge.rank").alias("rank"), F.coalesce("_mix_plan.edge.key", F.lit("")).alias("key"))
+    drawn = (F.col("_mix_plan.rest") > 0) & ((cell < F.col("_mix_plan.cell")) | (cell == F.col("_mix_plan.cell")) & F.coalesce(before_edge & F.col("_mix_plan.edge").isNotNull(), F.lit(False)))
+    copies = F.col("_mix_plan.whole") + F.coalesce(drawn, F.lit(False)).cast("long")
+    chosen = F.struct(F.col("_mix_plan.source_size").alias("source_size"), F.col("_mix_plan.target").alias("target"), copies.alias("copies"), (copies * F.col(size)).alias("taken"))
+    joined = docs.join(F.broadcast(full) if small else full, F.col(source).cast("string").eqNullSafe(F.col("_mix_source")))
+    return joined.withColumn(out, chosen).drop("_mix_source", "_mix_plan")
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **options) -> DataFrame:

@@ -237,8 +237,8 @@ SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.Str
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """The columns in carry (all but text, if None), score (0 to 1) and toxic_spans: code points, ends exclusive."""
-    carry = [c for c in docs.columns if c != text] if carry is None else carry
+    """The columns in carry (if None, all but text and those named like outputs), score (0 to 1) and toxic_spans: code points, ends exclusive."""
+    carry = [c for c in docs.columns if c not in (text, "score", "toxic_spans")] if carry is None else carry
     schema = T.StructType([docs.schema[c] for c in carry] + [T.StructField("score", T.DoubleType()), T.StructField("toxic_spans", SPANS)])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())]))
