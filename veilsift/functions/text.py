@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -136,8 +137,6 @@ def sanitize_text(text: Column, normalize_letters: bool = True) -> Column:
 
 def nfc(text: Column) -> Column:
     """Unicode normalisation form C; Spark has no built-in expression for it."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def form_c(s: pd.Series) -> pd.Series:
         import unicodedata

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -113,8 +114,6 @@ def deep_verdict(df: DataFrame, image: str = "raw", out: str = "deep_result", mo
     schema = T.StructType([T.StructField("verdict", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("method", T.StringType()), T.StructField("detail", T.StringType())])
     if model is None:
         return df.withColumn(out, F.struct(F.lit("inconclusive").alias("verdict"), F.lit(0.0).alias("confidence"), F.lit("unavailable").alias("method"), F.lit("no deep model").alias("detail")))
-    import pandas as pd
-
     @F.pandas_udf(schema)
     def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for images in batches:
@@ -140,8 +139,6 @@ def deep_threats(result: Column) -> Column:
 
 def strip_metadata(df: DataFrame, image: str = "raw", out: str = "stripped") -> DataFrame:
     """df with the image without its metadata; bytes that are no PNG or JPEG stay."""
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def clean(s: pd.Series) -> pd.Series:
         from ..sources.images import strip_metadata as strip
