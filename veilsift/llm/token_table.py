@@ -24,6 +24,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
@@ -66,11 +67,20 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.split = re.compile(r"(?<=\S)(?= \S)").split
+        self.uneven = re.compile(r"^\s|\s\s|\s$").search
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.known: dict[str, bytes] = {"": b""}
 
+    def chunks(self, text: str) -> list[str]:
+        """Chunks of a text; in one whose white space stands alone between others, every space starts a chunk."""
+        if self.uneven(text):
+            return self.split(text)
+        first, *rest = text.split(" ")
+        return [first, *[" " + x for x in rest]]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes of self.dtype."""
-        chunks = [self.split(t) for t in texts]
+        chunks = [self.chunks(t) for t in texts]
         new = list({c for cs in chunks for c in cs}.difference(self.known))
         if len(self.known) + len(new) > CACHE_CHUNKS:
             self.known = {"": b""}
@@ -78,9 +88,9 @@ class ChunkEncoder:
         for a in range(0, len(new), 20_000):
             part = new[a : a + 20_000]
             for chunk, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[chunk] = np.array(found.ids, self.dtype).tobytes()
-        known = self.known
-        return [b"".join([known[c] for c in cs]) for cs in chunks]
+                self.known[chunk] = array(self.code, found.ids).tobytes()
+        get = self.known.__getitem__
+        return [b"".join(map(get, cs)) for cs in chunks]
 
 
 @lru_cache(maxsize=2)
