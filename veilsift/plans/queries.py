@@ -212,6 +212,14 @@ def cloaked_addresses(spark, sf_dir):
     return c.select("url", F.round("divergence_score", 6).alias("divergence"), F.size("exclusive_blocks").alias("n_exclusive"), (F.size("threats") > 0).alias("cloaked"))
 
 
+@query(f"""SELECT url, round(d, 6)::DOUBLE AS divergence, x AS n_exclusive, d >= 0.05 AND x > 0 AS cloaked FROM (SELECT url,
+    CASE WHEN len(list_distinct(list_concat(human, agent))) = 0 THEN 0 ELSE 1 - len(list_intersect(human, agent)) / len(list_distinct(list_concat(human, agent))) END AS d,
+    len(list_filter(agent, lambda b: NOT list_contains(human, b)))::INT AS x FROM {seeded.whole_fetches_sql()})""")
+def cloaked_whole_texts(spark, sf_dir):
+    c = cloaking.compare(seeded.whole_fetches(table(spark, sf_dir, "documents")))
+    return c.select("url", F.round("divergence_score", 6).alias("divergence"), F.size("exclusive_blocks").alias("n_exclusive"), (F.size("threats") > 0).alias("cloaked"))
+
+
 # --- history, policy, rendering ---------------------------------------------------------------
 
 _DIM = "(VALUES " + ", ".join(f"('{t}', {tier}, '{s}', '{label}', {i})" for i, (t, tier, s, label) in enumerate(THREATS)) + ") AS dim(type, tier, severity, label, ord)"
