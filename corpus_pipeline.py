@@ -26,7 +26,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows that repeat an id become one; rows without an id are kept.
     """
     ship(spark)
-    groups = parity_join.similar_groups(docs, n=5, num=80, den=100)
+    groups = parity_join.similar_groups(docs, n=5, num=80, den=100, count=False)
     first = groups.filter("doc_id = component_id").select("doc_id").distinct()
     return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
 

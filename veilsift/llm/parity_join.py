@@ -22,6 +22,11 @@ reach leave the task; in a larger one all members outside the largest component
 round, with all members of other components, until none is left. Thus every pair that shares a key is
 verified, ruled out by its sketches or already connected, and no link between components is missed.
 
+Links are then counted inside the components, since sets of different components have none: a component
+is dealt into blocks by a hash of the node, each pair of blocks meets in one group, and the sizes of all
+intersections come from products of 0/1 matrices over the shingles that several sets share. Every pair of
+a component is compared once, on the whole sets; only a count for each node leaves the task.
+
 Null texts count as empty. Long texts make large sets, held one at a time. Extra columns are ignored.
 """
 
@@ -47,6 +52,10 @@ WHOLE = 4_096
 WIDTH = 1.5
 #: Rows of one pivot that one verifying task gets at most, about.
 ROWS_PER_SALT = 512
+#: Sets and shingles of one block of a component, about, when its links are counted.
+BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 20
+#: Shingles that a matrix of sets has as columns at most.
+COLUMNS = 4_096
 
 
 def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -282,8 +291,8 @@ def _reachable(rows: pa.Table, num: int, den: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
-def verify(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int, text: str = "text") -> DataFrame:
-    """Those of the pairs (a, b) whose sets reach the similarity. A pivot's text goes, compressed, to each of its salts once."""
+def packed_texts(docs: DataFrame, n: int, text: str = "text") -> DataFrame:
+    """(node, packed): a compressed text of each set, once or more."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack, seen = zstandard.ZstdCompressor(level=1).compress, set()
@@ -299,10 +308,16 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int, text:
                     seen.clear()
                 yield pa.RecordBatch.from_arrays([pa.array(numbers[rows], pa.int64()), pa.array([pack(data[offsets[i] : offsets[i + 1]].tobytes()) for i in rows], pa.binary())], names=["node", "packed"])
 
+    return docs.select(docs[text]).mapInArrow(packed, "node long, packed binary")
+
+
+def verify(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int, text: str = "text") -> DataFrame:
+    """Those of the pairs (a, b) whose sets reach the similarity. A pivot's text goes, compressed, to each of its salts once."""
+
     counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / ROWS_PER_SALT).cast("int").alias("salts"))
     salted = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
     wanted = salted.select(F.col("b").alias("node"), "a", "salt", F.lit(1).alias("turn")).unionByName(salted.select(F.col("a").alias("node"), "a", "salt", F.lit(0).alias("turn")).distinct())
-    there = docs.select(docs[text]).mapInArrow(packed, "node long, packed binary")
+    there = packed_texts(docs, n, text)
     # Both sides are shuffled at any size: a plan that broadcasts small ones says nothing about large ones.
     rows = wanted.hint("merge").join(there, "node").select("a", "salt", "turn", "node", "packed").repartition("a", "salt").sortWithinPartitions("a", "salt", "turn", "node")
 
@@ -330,9 +345,72 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int, text:
     return rows.mapInArrow(compare, "a long, b long").distinct()
 
 
-def similar_groups(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row per document: key, n_shingles, component_id (the smallest key that links lead to) and n_links (links
-    found and verified between its set and others; links that a component already implied are not searched for)."""
+def links_between(values: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which of the sets numbered left reach the similarity with which of those numbered right, as a matrix; no set links with itself."""
+    sizes = np.diff(at)
+    _, column, held = np.unique(values, return_inverse=True, return_counts=True)
+    shared = held > 1
+    use = shared[column]
+    column, row = (np.cumsum(shared) - 1)[column[use]], np.repeat(np.arange(len(sizes)), sizes)[use]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    both = np.zeros((len(left), len(right)), np.int64)
+    width = int(shared.sum())
+    for low in range(0, width, COLUMNS):
+        a, b = np.searchsorted(column, (low, low + COLUMNS))
+        has = np.zeros((len(sizes), min(COLUMNS, width - low)), np.float32)
+        has[row[a:b], column[a:b] - low] = 1
+        both += (has[left] @ has[right].T).astype(np.int64)
+    linked = (both > 0) & (den * both >= num * (sizes[left][:, None] + sizes[right] - both))
+    return linked & (left[:, None] != right)
+
+
+def link_counts(members: DataFrame, docs: DataFrame, n: int, num: int, den: int, text: str = "text") -> DataFrame:
+    """(node, links) of members (node, root, size, copies), the sets of components: how many documents with other sets reach
+    the similarity with each."""
+    number = F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("size") / BLOCK_SHINGLES)).cast("int")
+    # A row for at least a block's worth of sets or shingles, so this side is small.
+    large = members.groupBy("root").agg(number.alias("blocks")).filter("blocks > 1")
+    dealt = members.join(F.broadcast(large), "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    wanted = dealt.select("root", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "node", "copies")
+    rows = wanted.hint("merge").join(packed_texts(docs, n, text), "node").select("root", "a", "b", "node", "block", "copies", "packed")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        group, held = None, []
+
+        def counted() -> tuple[np.ndarray, np.ndarray]:
+            values, at = shingle_sets(pa.array([x[3] for x in held], pa.binary()).cast(pa.string()), n)
+            block, copies = np.array([x[1] for x in held]), np.array([x[2] for x in held], np.int64)
+            left, right = np.flatnonzero(block == group[1]), np.flatnonzero(block == group[2])
+            linked, links = links_between(values, at, left, right, num, den).astype(np.int64), np.zeros(len(held), np.int64)
+            links[left] += linked @ copies[right]
+            if group[1] != group[2]:
+                links[right] += linked.T @ copies[left]
+            return np.array([x[0] for x in held], np.int64), links
+
+        for batch in batches:
+            found = []
+            for root, a, b, node, block, copies, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (root, a, b) != group:
+                    if len(held) > 1:
+                        found.append(counted())
+                    group, held = (root, a, b), []
+                if not held or held[-1][0] != node:
+                    held.append((node, block, copies, unpack(packed)))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["node", "links"])
+        if len(held) > 1:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in counted()], names=["node", "links"])
+
+    sorted_rows = rows.repartition("root", "a", "b").sortWithinPartitions("root", "a", "b", "node")
+    return sorted_rows.mapInArrow(count, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+
+
+def similar_groups(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, key: str = "doc_id", text: str = "text", count: bool = True) -> DataFrame:
+    """A row per document: key, n_shingles, component_id (the smallest key that links lead to) and, with count, n_links (how
+    many other documents reach the similarity with it, exact copies included)."""
     docs = docs.select(docs[key].alias("key"), docs[text].alias("text"))
     found = stage(buckets(docs, n, num, den))
     release(docs.sparkSession)
@@ -377,10 +455,14 @@ def similar_groups(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, k
     release(docs.sparkSession)
 
     table = checkpoint(set_table(docs, n, "key"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    by_node = table.filter("node is not null").groupBy("node").agg(F.min("key").alias("least"), F.count("*").alias("copies"))
-    by_node = placed(by_node).join(degree, "node", "left")
-    by_root = by_node.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = by_node.join(by_root, "root").select("node", "component_id", (F.coalesce("n_links", F.lit(0)) + F.when(F.col("copies") > 1, 1).otherwise(0)).alias("n_links"))
+    by_node = table.filter("node is not null").groupBy("node").agg(F.min("key").alias("least"), F.count("*").alias("copies"), F.min("n_shingles").alias("size"))
+    by_node = checkpoint(by_node)
+    by_root = placed(by_node).groupBy("root").agg(F.min("least").alias("component_id"))
+    named = placed(by_node).join(by_root, "root").select("node", "component_id", "copies")
+    if count:
+        counts = stage(link_counts(by_node.join(roots, "node").select("node", "root", "size", "copies"), docs, n, num, den))
+        release(docs.sparkSession)
+        named = named.join(counts, "node", "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1)
     out = table.join(named, "node", "left")
-    return out.select(F.col("key").alias(key), "n_shingles", F.coalesce("component_id", "key").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    shown = [F.col("key").alias(key), "n_shingles", F.coalesce("component_id", "key").alias("component_id")]
+    return out.select(*shown, *([F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if count else []))
