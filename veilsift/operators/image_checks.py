@@ -27,22 +27,25 @@ _FACTS = T.StructType(
 _ARROW = pa.struct([("fields", pa.list_(pa.struct([("field", pa.string()), ("value", pa.binary()), ("entropy", pa.float64())]))), ("pixels", pa.struct([(n, pa.float64()) for n in ("chi_square", "rs", "spa", "entropy_r", "entropy_g", "entropy_b")]))])
 
 
-def facts(df: DataFrame, image: str, out: str) -> DataFrame:
-    """df with the column out: metadata fields of more than four bytes with their entropy, and statistics of the pixels."""
+def facts(df: DataFrame, image: str, out: str, decoded: str | None = None) -> DataFrame:
+    """df with the column out: metadata fields of more than four bytes with their entropy, and statistics of the pixels.
+
+    Pixels come from the column decoded, a struct of Spark's image source, where there is one, else from an 8-bit PNG.
+    """
     schema = T.StructType([*df.schema.fields, T.StructField(out, _FACTS)])
-    at = df.columns.index(image)
+    at, where = df.columns.index(image), df.columns.index(decoded) if decoded else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         from ..functions.image import chi_square_of, entropy_of, regular_singular_of, sample_pairs_of
-        from ..sources.images import metadata, png_pixels
+        from ..sources.images import metadata, png_pixels, source_pixels
 
-        def of(data: bytes | None) -> dict | None:
+        def of(data: bytes | None, seen: dict | None) -> dict | None:
             if data is None or len(data) < 16:
                 return None
             fields = [{"field": f, "value": v, "entropy": entropy_of(np.frombuffer(v, np.uint8))} for f, v in metadata(data) if len(v) > FIELD_BYTES]
-            px, stats = png_pixels(data), None
+            px, stats = png_pixels(data) if seen is None else source_pixels(seen), None
             if px is not None and px.size:
                 rgb = px[:, :, :3] if px.shape[2] >= 3 else np.repeat(px[:, :, :1], 3, 2)
                 red = rgb[:, :, 0]
@@ -52,7 +55,8 @@ def facts(df: DataFrame, image: str, out: str) -> DataFrame:
         for batch in batches:
             for a in range(0, batch.num_rows, 64):
                 part = batch.slice(a, 64)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([of(x) for x in part.column(at).to_pylist()], _ARROW)], names=schema.names)
+                seen = part.column(where).to_pylist() if decoded else [None] * part.num_rows
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([of(*x) for x in zip(part.column(at).to_pylist(), seen, strict=True)], _ARROW)], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
@@ -88,25 +92,39 @@ def judge(facts: Column, image: Column, filename: Column) -> Column:
         named = [("chi_square", chi), ("rs_analysis", rs), ("spa", spa), ("combined", score), ("entropy_r", p["entropy_r"]), ("entropy_g", p["entropy_g"]), ("entropy_b", p["entropy_b"]), ("max_metadata_entropy", top["entropy"]), ("borderline", F.when(odd, F.lit(1.0)))]
         scores = F.map_filter(F.create_map(*[x for k, v in named for x in (F.lit(k), v.cast("double"))]), lambda k, v: v.isNotNull())
         suspicious = mismatch | (F.size(r) > 0) | hidden | odd
-        action = F.when(~suspicious, "clean").when(mismatch | F.coalesce(most > QUARANTINE, F.lit(False)), "quarantine").otherwise("deep_scan")
+        action = F.when(~suspicious, F.when(chi.isNull(), "not_analysed").otherwise("clean")).when(mismatch | F.coalesce(most > QUARANTINE, F.lit(False)), "quarantine").otherwise("deep_scan")
         return F.struct(threats.alias("threats"), suspicious.alias("is_suspicious"), scores.alias("scores"), action.alias("recommended_action"), detected.alias("detected_mime"), claimed.alias("claimed_mime"))
 
     nothing = F.struct(no_threats().alias("threats"), F.lit(False).alias("is_suspicious"), F.create_map().cast("map<string,double>").alias("scores"), F.lit("clean").alias("recommended_action"), F.lit(None).cast("string").alias("detected_mime"), F.lit(None).cast("string").alias("claimed_mime"))
     return F.when(F.octet_length(image) >= 16, let(ranked, of)).otherwise(nothing)
 
 
-def triage(df: DataFrame, image: str = "raw", filename: str = "filename", out: str = "triage") -> DataFrame:
-    """df with the column out, null where there is no image."""
-    known = facts(df, image, "_facts")
+def triage(df: DataFrame, image: str = "raw", filename: str = "filename", out: str = "triage", decoded: str | None = None) -> DataFrame:
+    """df with the column out, null where there is no image. An image without findings whose pixels nothing decoded is not_analysed."""
+    known = facts(df, image, "_facts", decoded)
     return known.withColumn(out, F.when(F.col(image).isNotNull(), judge(F.col("_facts"), F.col(image), F.col(filename)))).drop("_facts")
 
 
+def with_pixels(spark: SparkSession, files: DataFrame, path: str, out: str = "decoded") -> DataFrame:
+    """files, with a column path as the binaryFile source gives it, with the column out: what Spark's image source decodes of
+    the files below path, null for others."""
+    place = lambda c: F.regexp_replace(F.regexp_replace(F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), "^([a-z]+):/+", "$1:/"), "/+$", "")
+    seen = spark.read.format("image").option("dropInvalid", True).load(path).select(place(F.col("image.origin")).alias("_origin"), F.struct("image.height", "image.width", "image.nChannels", "image.data").alias(out))
+    return files.join(seen, place(F.col("path")) == F.col("_origin"), "left").drop("_origin")
+
+
+def triage_files(spark: SparkSession, path: str, out: str = "triage") -> DataFrame:
+    """(path, filename, out) of the image files below path: bytes from the binaryFile source, pixels from the image source, joined on path."""
+    files = spark.read.format("binaryFile").load(path).select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("content").alias("raw"))
+    return triage(with_pixels(spark, files, path), out=out, decoded="decoded").select("path", "filename", out)
+
+
 def channels(spark: SparkSession, path: str) -> DataFrame:
     """(origin, y, x, r, g, b) of the images below a path that Spark's image source decodes; for small images, a row a pixel."""
-    rows = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*").filter("nChannels >= 3")
+    rows = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
     place = F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)).alias("i")
     byte = lambda k: F.conv(F.hex(F.substring("data", F.col("i") * F.col("nChannels") + 1 + k, F.lit(1))), 16, 10).cast("int")
-    return rows.select("origin", "width", "nChannels", "data", place).select("origin", F.floor(F.col("i") / F.col("width")).alias("y"), (F.col("i") % F.col("width")).alias("x"), byte(2).alias("r"), byte(1).alias("g"), byte(0).alias("b"))
+    return rows.select("origin", "width", "nChannels", "data", place).select("origin", F.floor(F.col("i") / F.col("width")).alias("y"), (F.col("i") % F.col("width")).alias("x"), *[F.when(F.col("nChannels") >= 3, byte(k)).otherwise(byte(0)).alias(c) for c, k in (("r", 2), ("g", 1), ("b", 0))])
 
 
 def deep_verdict(df: DataFrame, image: str = "raw", out: str = "deep_result", model=None) -> DataFrame:

@@ -141,7 +141,8 @@ def sanitize_html(docs: DataFrame, html: str = "html", out: str = "sanitized") -
 
 def scan(docs: DataFrame) -> DataFrame:
     """docs (content, raw, content_type, filename, deep and any others) with threats, sanitized_content, verdict columns and
-    tier_timings (null values: a row has no wall time of its own)."""
+    tier_timings (null values: a row has no wall time of its own). The pixels of images are read from a column decoded if
+    there is one (image_checks.with_pixels joins it to files), else from 8-bit PNG bytes only."""
     from .image_checks import triage
 
     df = routed(docs)
@@ -149,7 +150,7 @@ def scan(docs: DataFrame) -> DataFrame:
     page = F.col("route") == "html"
     df = df.withColumn("_text", F.when(page, html_threats(F.col("_nodes"))).when(F.col("route") == "text", unicode_threats(F.col("text"))).otherwise(no_threats()))
     df = df.withColumn("_gone", F.when(page, removable(F.col("_nodes")))).drop("_nodes")
-    df = triage(df.withColumn("_image", F.when(F.col("run_image"), F.col("raw"))), "_image", "filename", "_triage")
+    df = triage(df.withColumn("_image", F.when(F.col("run_image"), F.col("raw"))), "_image", "filename", "_triage", "decoded" if "decoded" in docs.columns else None)
     df = df.withColumn("threats", F.concat("_text", F.coalesce("_triage.threats", no_threats())))
     df = rewrite(df, "_html", "_gone", "_clean")
     df = df.withColumn("sanitized_content", F.when(page, F.col("_clean")).when(F.col("route") == "text", sanitize_text(F.col("text"))))

@@ -1,7 +1,7 @@
 """Image bytes in tasks: metadata fields, pixels of PNG files, stripping, and a PNG writer for generated images.
 
 The standard library is enough for these; JPEG pixels need a decoder that is not part of this package
-and are read through Spark's image source (see operators.image_checks.channels).
+and are read through Spark's image source (see operators.image_checks.with_pixels).
 """
 
 from __future__ import annotations
@@ -135,6 +135,16 @@ def png_pixels(data: bytes) -> np.ndarray | None:
         return None
 
 
+def source_pixels(image: dict) -> np.ndarray | None:
+    """Height x width x channels, RGB or grey, of a row of Spark's image source, which keeps BGR(A) bytes."""
+    n = image["nChannels"]
+    px = np.frombuffer(image["data"], np.uint8)
+    if n not in (1, 3, 4) or len(px) != image["height"] * image["width"] * n:
+        return None
+    px = px.reshape(image["height"], image["width"], n)
+    return px if n == 1 else np.ascontiguousarray(px[:, :, 2::-1])
+
+
 def write_png(pixels: np.ndarray, text: dict[str, str] | None = None) -> bytes:
     """An 8-bit RGB PNG."""
     chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
