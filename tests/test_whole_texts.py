@@ -20,3 +20,13 @@ def test_cloaking_compares_whole_texts(spark, tmp_path):
         d = 1 - len(human & agent) / len(human | agent) if human | agent else 0.0
         want[f"http://site/{i}"] = (pytest.approx(d, abs=1e-6), len(agent - human), d >= 0.05 and bool(agent - human))
     assert got == want
+
+
+def test_no_text_is_left_out_of_the_character_checks(spark, tmp_path):
+    texts = {5: "tab\tand “quotes”…", 11: "p\u0430y now", 17: "a\u200bb\u200c" + "\u200b" * 3, 23: "日本", 29: "plain"}  # ids that no seed changes
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
+    threats = {r.doc_id: r.threats for r in run("unicode_threats")}
+    assert threats == {5: "", 11: "homoglyph:normalized", 17: "zero_width_chars:stripped", 23: "", 29: ""}
+    assert {r.doc_id: r.scripts for r in run("mixed_scripts")}.keys() == texts.keys()
+    assert {(r.doc_id, r.ch, r.n) for r in run("zero_width_kind_counts")} == {(17, "\u200b", 4), (17, "\u200c", 1)}

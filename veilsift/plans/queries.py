@@ -145,6 +145,12 @@ def zero_width_kinds(spark, sf_dir):
     return g.select("doc_id", F.concat_ws(": ", "ch", F.col("n").cast("string")).alias("kinds"), F.lit("x").alias("mark"))
 
 
+@query(f"SELECT doc_id, ch, count(*)::BIGINT AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_ZW}')) AS ch FROM {seeded.documents_sql()}) GROUP BY ALL")
+def zero_width_kind_counts(spark, sf_dir):
+    t = seeded_texts(spark, sf_dir).select("doc_id", F.explode(tx.zero_width_chars(F.col("text"))).alias("ch"))
+    return t.groupBy("doc_id", "ch").agg(F.count("*").alias("n"))
+
+
 @query(rf"SELECT doc_id, len(regexp_extract_all(text, '[\x{{FE00}}-\x{{FE0F}}\x{{E0100}}-\x{{E01EF}}]'))::INT AS n, CASE WHEN doc_id % 6 = 2 THEN '0:VS16' ELSE '' END AS first FROM {seeded.documents_sql()}")
 def variation_selectors(spark, sf_dir):
     found = tx.selectors(F.col("text"))
@@ -160,7 +166,7 @@ def confusable_letters(spark, sf_dir):
 
 @query("SELECT doc_id, CASE doc_id % 6 WHEN 3 THEN 'cyrillic' WHEN 4 THEN 'greek' ELSE '' END AS scripts FROM documents WHERE regexp_matches(text, '[A-Za-z]')")
 def mixed_scripts(spark, sf_dir):
-    t = seeded_texts(spark, sf_dir).filter(F.col("text").rlike("[A-Za-z]"))
+    t = seeded_texts(spark, sf_dir)
     return t.select("doc_id", joined(tx.mixed_scripts(F.col("text"))).alias("scripts"))
 
 
@@ -171,8 +177,7 @@ def sanitized_texts(spark, sf_dir):
 
 @query("SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'zero_width_chars:stripped' WHEN 1 THEN CASE WHEN 300.0 / length(text) > 5 THEN 'zero_width_chars:stripped' ELSE '' END WHEN 2 THEN 'variation_selector:stripped' WHEN 3 THEN 'homoglyph:normalized' WHEN 4 THEN 'homoglyph:normalized' ELSE '' END AS threats FROM documents WHERE regexp_matches(text, '^[\\x20-\\x7E\\n\\x{A1}-\\x{AC}\\x{AE}-\\x{FF}]*$')")
 def unicode_threats(spark, sf_dir):
-    plain = table(spark, sf_dir, "documents").filter(F.col("text").rlike(r"^[\x20-\x7E\n\x{A1}-\x{AC}\x{AE}-\x{FF}]*$") & ~F.col("text").rlike(r"\A\z\n"))
-    t = seeded.documents(plain).select("doc_id", unicode_checks.unicode_threats(F.col("text")).alias("t"))
+    t = seeded_texts(spark, sf_dir).select("doc_id", unicode_checks.unicode_threats(F.col("text")).alias("t"))
     return t.select("doc_id", joined(F.transform("t", lambda x: F.concat_ws(":", x["type"], x["outcome"]))).alias("threats"))
 
 
