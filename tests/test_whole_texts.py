@@ -30,3 +30,9 @@ def test_no_text_is_left_out_of_the_character_checks(spark, tmp_path):
     assert threats == {5: "", 11: "homoglyph:normalized", 17: "zero_width_chars:stripped", 23: "", 29: ""}
     assert {r.doc_id: r.scripts for r in run("mixed_scripts")}.keys() == texts.keys()
     assert {(r.doc_id, r.ch, r.n) for r in run("zero_width_kind_counts")} == {(17, "\u200b", 4), (17, "\u200c", 1)}
+
+
+def test_routes_follow_the_texts(spark, tmp_path):
+    rows = [(1, "<p>a page</p>"), (3, "<html><body>x</body></html>"), (4, "words"), (5, "<p>bytes of a table</p>")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.route for r in QUERIES["text_routes"](spark, str(tmp_path)).collect()} == {1: "html", 3: "html", 4: "text", 5: "text"}

@@ -202,7 +202,7 @@ def page_routes(spark, sf_dir):
 @query("SELECT doc_id, 'text' AS route, CASE doc_id % 3 WHEN 0 THEN 'text/markdown' WHEN 1 THEN 'text/plain' ELSE 'text/csv' END AS type, doc_id % 3 = 2 AS run_image FROM documents")
 def text_routes(spark, sf_dir):
     k = F.col("doc_id") % 3
-    d = table(spark, sf_dir, "documents").select("doc_id", F.when(k < 2, F.lit("plain words")).alias("content"), F.when(k == 2, F.encode(F.lit("a,b"), "UTF-8")).alias("raw"), F.when(k == 0, " TEXT/Markdown ; charset=utf-8").when(k == 1, "image/png").otherwise("text/csv").alias("content_type"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.when(k < 2, F.col("text")).alias("content"), F.when(k == 2, F.encode("text", "UTF-8")).alias("raw"), F.when(k == 0, " TEXT/Markdown ; charset=utf-8").when(k == 1, "image/png").otherwise("text/csv").alias("content_type"))
     return scan.routed(d).select("doc_id", "route", "type", "run_image")
 
 
