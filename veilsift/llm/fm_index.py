@@ -1,6 +1,6 @@
 """A compressed FM-index over sequences of integers, held by one shard.
 
-The suffixes are sorted to DEPTH symbols by prefix doubling. Patterns no longer than that have whole,
+The suffixes are sorted to DEPTH symbols, or a given number, by prefix doubling. Patterns no longer than that have whole,
 contiguous intervals, whatever the order of suffixes that agree so far, and backward search finds them.
 The Burrows-Wheeler transform is stored as a wavelet matrix: one bit vector a level, packed into 64-bit
 words with a running count for each word, so a symbol's rank costs one look-up a level.
@@ -32,14 +32,14 @@ class BitVector:
 class FMIndex:
     """Over sequences of symbols 1 .. sigma, given as one array with offsets."""
 
-    def __init__(self, symbols: np.ndarray, offsets: np.ndarray):
+    def __init__(self, symbols: np.ndarray, offsets: np.ndarray, depth: int = DEPTH):
         lengths = np.diff(offsets)
         self.text = np.zeros(len(symbols) + len(lengths), np.int64)
         at = np.arange(len(symbols)) + np.repeat(np.arange(len(lengths)), lengths)
         self.text[at] = symbols
         n = len(self.text)
         rank, step = self.text.copy(), 1
-        while step < DEPTH and n:
+        while step < depth and n:
             after = np.zeros(n, np.int64)
             after[: n - step] = rank[step:] + 1 if step < n else 0
             _, rank = np.unique(rank * (n + 2) + after, return_inverse=True)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .fm_index import FMIndex
+from .fm_index import DEPTH, FMIndex
 from .staging import release, stage
 from .textcols import _power, mix, ngram_hashes, slices, spans, utf8, word_hashes
 
@@ -98,7 +98,7 @@ def segment_table(docs: DataFrame) -> DataFrame:
 def repeated_in_shard(names: np.ndarray, weights: np.ndarray, words: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(segment, from, to) of the windows that occur twice or more among a shard's segments."""
     symbols = np.unique(words, return_inverse=True)[1] + 1
-    index = FMIndex(symbols, offsets)
+    index = FMIndex(symbols, offsets, max(DEPTH, window))
     n = np.diff(offsets) - window + 1
     owner = np.repeat(np.arange(len(n)), n)
     number = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
