@@ -22,16 +22,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of rows linked by a similarity of 0.8 or more of their 5-word shingles, the one with the smallest id stays, rows
-    without an id last. Rows that share an id, or have none, are told apart by a hash of all their columns; rows that
+    without an id last. Rows that share an id, or have none, are told apart by two hashes of all their columns; rows that
     agree in every column become one.
     """
     ship(spark)
-    row = F.struct(F.col("doc_id").isNull().alias("lacks"), F.col("doc_id").alias("id"), F.xxhash64(*docs.columns).alias("hash"))
-    keyed = docs.withColumn("_row", row)
-    groups = parity_join.similar_groups(keyed, n=5, num=80, den=100, key="_row", count=False)
-    first = groups.filter(F.col("_row").eqNullSafe(F.col("component_id"))).select(F.col("_row.hash").alias("_hash"), F.col("_row.id").alias("_id")).distinct()
-    same = (F.col("_row.hash") == F.col("_hash")) & F.col("_row.id").eqNullSafe(F.col("_id"))
-    return keyed.join(first, same, "left_semi").withColumn("_hash", F.col("_row.hash")).dropDuplicates(["doc_id", "_hash"]).drop("_row", "_hash")
+    keyed = docs.withColumn("_h1", F.xxhash64(*docs.columns)).withColumn("_h2", F.xxhash64(F.lit(1), *docs.columns))
+    row = F.struct(F.col("doc_id").isNull().alias("lacks"), F.col("doc_id").alias("id"), "_h1", "_h2")
+    groups = parity_join.similar_groups(keyed.withColumn("_row", row), n=5, num=80, den=100, key="_row")
+    first = groups.filter(F.col("_row").eqNullSafe(F.col("component_id"))).select("_row._h1", "_row._h2")
+    return keyed.join(first.hint("merge"), ["_h1", "_h2"], "left_semi").dropDuplicates(["_h1", "_h2"]).drop("_h1", "_h2")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

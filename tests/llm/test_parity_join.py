@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from veilsift.llm import parity_join as p
 from veilsift.llm.components import components
@@ -49,10 +50,9 @@ def corpus(seed):
     return [(i * 3, t) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize(("seed", "n", "num", "whole"), [(1, 4, 85, 4096), (2, 5, 80, 0)])
-def test_against_brute_force(spark, monkeypatch, seed, n, num, whole):
-    monkeypatch.setattr(p, "WHOLE", whole)
-    monkeypatch.setattr(p, "PIVOTS", 1)
+@pytest.mark.parametrize(("seed", "n", "num", "members"), [(1, 4, 85, 2048), (2, 5, 80, 2)])
+def test_against_brute_force(spark, monkeypatch, seed, n, num, members):
+    monkeypatch.setattr(p, "BLOCK_MEMBERS", members)
     rows = corpus(seed)
     df = spark.createDataFrame([(i, t, 0, "x") for i, t in rows], "doc_id long, text string, node int, key string").repartition(3)
     got = p.similar_groups(df, n, num, 100).collect()
@@ -60,6 +60,35 @@ def test_against_brute_force(spark, monkeypatch, seed, n, num, whole):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, n, num, 100)
 
 
+def chain(k, seed):
+    """k texts of one family at a similarity of 0.7 to 0.95, most of which reach no single text of it."""
+    r = random.Random(seed)
+    w, out = [f"w{i}" for i in range(150)], []
+    for i in range(k):
+        w = list(w)
+        for _ in range(r.randrange(1, 3)):
+            w[r.randrange(len(w))] = f"n{i}"
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("members", [3, 2048])
+def test_families_that_few_links_hold_together(spark, monkeypatch, members):
+    monkeypatch.setattr(p, "BLOCK_MEMBERS", members)
+    rows = list(enumerate(chain(60, 1) + [" ".join(f"z{i % 90}" for i in range(j, j + 80)) for j in range(30)]))
+    got = p.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(11), 4, 85, 100).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 4, 85, 100)
+
+
+def test_a_long_text_null_ids_repeats_and_clashing_columns(spark):
+    r = random.Random(8)
+    long = " ".join(f"w{r.randrange(5000)}" for _ in range(100_000))
+    rows = [(1, long), (2, long + " end"), (2, "a b c d e f g"), (None, "a b c d e f g"), (None, "q r s t u"), (None, None), (None, "q r s t u"), (9, "other words here now")]
+    df = spark.createDataFrame([(i, t, 0, "x", None, 1.0) for i, t in rows], "doc_id long, text string, node int, key string, root string, hash double")
+    got = sorted((x.doc_id or 0, x.component_id or 0, x.n_links) for x in p.similar_groups(df).collect())
+    assert got == [(0, 0, 0), (0, 0, 1), (0, 0, 1), (0, 2, 1), (1, 1, 1), (2, 1, 1), (2, 2, 1), (9, 9, 0)]
+
+
 def test_similar_sets_share_a_key():
     r = np.random.default_rng(0)
     for size in (7, 12, 13, 20, 50, 200, 1000):
@@ -75,19 +104,38 @@ def test_similar_sets_share_a_key():
             assert same or set(keys[who == 0].tolist()) & set(keys[who == 1].tolist())
 
 
-def test_pairs_of_buckets_match_single_comparisons(spark):
+@pytest.mark.parametrize("blocks", [1, 4])
+def test_pairs_in_reach_join_all_roots_that_links_join(spark, blocks):
     r = np.random.default_rng(2)
     texts = [" ".join(f"w{r.integers(30)}" for _ in range(r.integers(5, 200))) for _ in range(40)]
     texts += [t + " more words" for t in texts[:20]]
-    df = spark.createDataFrame([(t,) for t in texts], "text string")
-    sketches = p.sketch_table(df, 2)
-    nodes = [x.node for x in sketches.collect()]
-    rows = spark.createDataFrame([(k, v, v) for k in range(3) for v in nodes], "key long, node long, root long").repartition(5)
-    got = {tuple(x) for x in p.bucket_pairs(rows, sketches, 80, 100).collect()}
-    pairs = spark.createDataFrame([(a, b) for a in nodes for b in nodes if a < b], "a long, b long")
-    loose = {tuple(x) for x in p.within_reach(pairs, sketches, 80, 100).collect()}
-    linked = {tuple(x) for x in p.verify(pairs, df, 2, 80, 100).collect()}
-    assert linked and linked <= loose <= got and len(got) < len(nodes) * (len(nodes) - 1) / 2
+    sets = p.set_table(spark.createDataFrame(list(enumerate(texts)), "key long, text string"), 2)
+    nodes = sets.select("node", "sketch", F.col("n_shingles").alias("size")).dropDuplicates(["node"])
+    rows = nodes.crossJoin(spark.range(3).select(F.col("id").alias("key"))).select("key", "node", F.col("node").alias("root"), F.lit(blocks).alias("blocks"))
+    found = p.in_reach(p.block_pairs(rows, "key"), nodes, 80, 100)
+    roots = {x.node: x.root for x in components(found).collect()}
+    number = {x.key: x.node for x in sets.collect()}
+    linked = {number[i]: c for i, (_, c) in brute(list(enumerate(texts)), 2, 80, 100).items()}
+    assert all(roots[v] == roots[number[c]] for v, c in linked.items() if v != number[c])
+    assert 10 < len(set(roots.values())) + nodes.count() - len(roots) <= len(set(linked.values()))
+
+
+def test_forest_connects_what_links_connect():
+    r = np.random.default_rng(3)
+    for _ in range(20):
+        linked = r.random((9, 7)) < 0.1
+        left, right = np.arange(9), np.arange(9, 16)
+        links = [(int(a), int(b) + 9) for a, b in np.argwhere(linked)]
+        forest = p.spanning_forest(linked, left, right)
+
+        def groups(pairs):
+            root = list(range(16))
+            for _ in range(16):
+                for a, b in pairs:
+                    root[a] = root[b] = min(root[a], root[b])
+            return root
+
+        assert groups(forest) == groups(links) and len(forest) == 16 - len(set(groups(links)))
 
 
 def test_equal_sets_have_equal_numbers():

@@ -7,27 +7,31 @@ numbered by a 64-bit fingerprint of the set, so copies cost nothing after the fi
 Similar sets have sizes within num / den of each other and a symmetric difference of at most
 d = (den - num) / (den + num) times the sum of their sizes. Sizes are cut into bands so that similar
 sets lie in one band or in neighbours. Each node joins in its own band, and in the next one too if a
-set of that band can be similar to it. In a band, every shingle flips one bit of a parity sketch. One differing shingle changes one bit, so the sketches'
-Hamming distance is at most the symmetric difference, at most d. The sketch is cut into (d + 1) / 2
-groups (rounded up) of three words: by the pigeonhole principle some group has at most one differing
-bit, and so two equal words. The join keys are the three pairs of words of each group.
-
-Nodes that share a key form a bucket. Within a slice of the input and then across all slices, the
-members of a bucket are paired with one pivot only, so the pairs grow with a bucket's size and not with
-its square. Each node is verified against the pivot it shares most keys with, unless their sizes or the
-Hamming distance of longer sketches rule the pair out, on the whole sets, and the links are closed to
-components. A bucket whose members are then in several components is not finished: one with up to WHOLE
-members compares sizes and sketches of all pairs between its components in memory, and only pairs in
-reach leave the task; in a larger one all members outside the largest component are compared, PIVOTS a
-round, with all members of other components, until none is left. Thus every pair that shares a key is
-verified, ruled out by its sketches or already connected, and no link between components is missed.
-
-Links are then counted inside the components, since sets of different components have none: a component
-is dealt into blocks by a hash of the node, each pair of blocks meets in one group, and the sizes of all
-intersections come from products of 0/1 matrices over the shingles that several sets share. Every pair of
-a component is compared once, on the whole sets; only a count for each node leaves the task.
-
-Null texts count as empty. Long texts make large sets, held one at a time. Extra columns are ignored.
+set of that band can be similar to it. In a band the shingles are dealt to d + 1 + e parts, and each
+part's tokens are XOR-hashed: the hash is equal exactly where the part's parity sketch is. A shingle
+that only one set has changes one part, so by the pigeonhole principle at least e + 1 parts of two
+similar sets are equal. A set with at most e empty parts therefore joins by the others only, and e is
+chosen so that nearly all sets are such; one with more empty parts joins by all.
+
+1. Nodes that share a key form a bucket. Within a slice of the input and then across all slices, each
+   member is paired with one pivot only. Each node is compared with the pivot it shares most keys with,
+   by size and by the Hamming distance of a parity sketch of a bit or two a member, which is a lower
+   bound of the symmetric difference. What these leave in reach is closed to families.
+2. In a bucket whose members are in several families, pairs of different families are compared by the
+   same sketches, in memory, and families that touch become one as soon as a pair in reach is seen.
+   Thus every pair that shares a key is ruled out by its sketches or lies in one family.
+3. In a family every pair is compared on the whole sets: the sizes of all intersections come from products of
+   0/1 matrices over the shingles that several sets share. Counts of links leave a task, and of the
+   links themselves a spanning forest, whose closure gives the components.
+
+A bucket or family of any size is dealt into blocks of a bounded size, and each pair of blocks meets in
+one group, so no task holds more than two blocks; rows grow with members times blocks. The comparisons
+of 2 and 3 themselves grow with the square of a bucket or family.
+
+Null texts count as empty. A long text makes a large set, held one at a time. Rows that share a key, or
+have none, are documents of their own; a component's number is its smallest key that isn't null, and null if
+it has none. Ties don't arise: of equal sets, one stands for all. An empty table gives an empty table.
+Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,23 +40,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import components
-from .staging import checkpoint, release, stage
+from .staging import checkpoint, discard, release, stage
 from .textcols import LOWER, mix, ngram_hashes, slices, spans, utf8, word_hashes
 
 SLICE_BYTES = 3 << 20
-PIVOTS = 64
-#: Members of an unfinished bucket up to which its pairs are compared inside one task; above, by rounds of PIVOTS.
-WHOLE = 4_096
 #: Of two bands' lower bounds, the least ratio. Wider bands ask for more keys of their small sets, narrower ones make more sets join twice.
 WIDTH = 1.5
-#: Rows of one pivot that one verifying task gets at most, about.
-ROWS_PER_SALT = 512
-#: Sets and shingles of one block of a component, about, when its links are counted.
+#: Members of one block of a bucket.
+BLOCK_MEMBERS = 2_048
+#: Sets and shingles of one block of a family, about.
 BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 20
 #: Shingles that a matrix of sets has as columns at most.
 COLUMNS = 4_096
@@ -64,23 +65,20 @@ def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     data = LOWER[data]
     starts, ends, first = spans(data, offsets)
     h = word_hashes(data, starts, ends)
-    grams, counts = ngram_hashes(h, n), np.diff(first)
-    long = counts >= n
-    at = np.arange(len(grams))
-    row = np.searchsorted(first, at, "right") - 1
-    whole = at + n <= first[row + 1] if len(at) else np.zeros(0, bool)
-    values, rows = [grams[whole]], [row[whole]]
-    for i in np.flatnonzero((counts > 0) & ~long):
-        few = ngram_hashes(h[first[i] : first[i + 1]], int(counts[i])) + np.uint64(counts[i])
-        values.append(few)
-        rows.append(np.full(1, i))
-    values, rows = np.concatenate(values), np.concatenate(rows)
-    order = np.lexsort((values, rows))
-    values, rows = values[order], rows[order]
-    fresh = np.ones(len(values), bool)
-    fresh[1:] = (values[1:] != values[:-1]) | (rows[1:] != rows[:-1])
-    values, rows = values[fresh], rows[fresh]
-    return values, np.searchsorted(rows, np.arange(len(offsets)))
+    counts = np.diff(first)
+    grams = ngram_hashes(h, n)
+    sizes = np.where(counts >= n, counts - n + 1, (counts > 0).astype(np.int64))
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    values, fresh = np.empty(int(at[-1]), np.uint64), np.ones(int(at[-1]), bool)
+    for i, (a, b, w, k) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), first[:-1].tolist(), counts.tolist(), strict=True)):
+        if k >= n:
+            part = np.sort(grams[w : w + b - a])
+            values[a:b] = part
+            fresh[a + 1 : b] = part[1:] != part[:-1]
+        elif k:
+            values[a] = ngram_hashes(h[w : w + k], k)[0] + np.uint64(k)
+    kept = np.concatenate([[0], np.cumsum(fresh)])
+    return values[fresh], kept[at]
 
 
 def set_numbers(values: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -99,6 +97,17 @@ def bands(largest: int, num: int, den: int) -> np.ndarray:
     return np.array(out, np.int64)
 
 
+def band_parts(low: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each band but the last: its parts, and how many of them a set may have empty without joining by those."""
+    most = (den - num) * 2 * (low[1:] - 1) // (den + num)
+    spare = np.zeros(len(most), np.int64)
+    for _ in range(3):
+        parts = most + 1 + spare
+        empty = parts * np.exp(-low[:-1] / parts)
+        spare = np.ceil(empty + 2 * np.sqrt(empty)).astype(np.int64)
+    return np.where(most > 0, most + 1 + spare, 0), spare
+
+
 def sketch_keys(values: np.ndarray, at: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """The join keys of each set, and the number of the set that each belongs to."""
     sizes = np.diff(at)
@@ -106,28 +115,39 @@ def sketch_keys(values: np.ndarray, at: np.ndarray, num: int, den: int) -> tuple
     own = np.searchsorted(low, np.maximum(sizes, 1), "right") - 1
     owner = np.repeat(np.arange(len(sizes)), sizes)
     h = mix(values ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-    place = (h >> np.uint64(32)).astype(np.uint64)
-    word, bit = h % np.uint64(3), np.uint64(1) << ((h >> np.uint64(8)) & np.uint64(63))
+    place, token = h >> np.uint64(32), mix(h)
+    parts_of, spare_of = band_parts(low, num, den)
     keys, sets = [], []
     for band in (own, own + 1):
-        most = (den - num) * 2 * (low[band + 1] - 1) // (den + num)
         reaches = (band == own) | (den * sizes >= num * low[band])
-        groups = np.where((most > 0) & (sizes > 0) & reaches, (most + 2) // 2, 0)
-        base = np.concatenate([[0], np.cumsum(groups)])
-        use = groups[owner] > 0
-        g = (place[use] * groups[owner[use]].astype(np.uint64)) >> np.uint64(32)
-        words = np.zeros(int(base[-1]) * 3, np.uint64)
-        np.bitwise_xor.at(words, (base[owner[use]] * 3).astype(np.int64) + (g * np.uint64(3) + word[use]).astype(np.int64), bit[use])
-        words = words.reshape(-1, 3)
-        who = np.repeat(np.arange(len(sizes)), groups)
+        parts = np.where((sizes > 0) & reaches, parts_of[band], 0)
+        base = np.concatenate([[0], np.cumsum(parts)])
+        use = parts[owner] > 0
+        slot = base[owner[use]] + ((place[use] * parts[owner[use]].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+        words = np.zeros(int(base[-1]), np.uint64)
+        np.bitwise_xor.at(words, slot, token[use])
+        who = np.repeat(np.arange(len(sizes)), parts)
+        empty = np.bincount(slot, minlength=len(words)) == 0
+        joins = ~empty | (np.bincount(who[empty], minlength=len(sizes)) > spare_of[band])[who]
         number = np.arange(len(who)) - base[who]
         label = mix((band[who].astype(np.uint64) << np.uint64(40)) | number.astype(np.uint64))
-        for k, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
-            keys.append(mix(mix(words[:, i] + label + np.uint64(k)) + words[:, j]))
-            sets.append(who)
+        keys.append(mix(words + label)[joins])
+        sets.append(who[joins])
     return np.concatenate(keys).astype(np.int64), np.concatenate(sets)
 
 
+def sketches(values: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """Of each set a parity sketch of one or two bits a member, a power of two, 64 at least."""
+    sizes = np.diff(at)
+    bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
+    base = np.concatenate([[0], np.cumsum(bits)])
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    place = (mix(values ^ np.uint64(0x3C6EF372FE94F82B)) & (bits[owner] - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(base[owner] + place, minlength=int(base[-1])) & 1
+    raw = np.packbits(odd.astype(np.uint8)).tobytes()
+    return [raw[a // 8 : b // 8] for a, b in zip(base[:-1].tolist(), base[1:].tolist(), strict=True)]
+
+
 def _sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
     for a, b in slices(utf8(batch.column(0))[1], SLICE_BYTES):
         part = batch.slice(a, b - a)
@@ -135,44 +155,40 @@ def _sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[pa.RecordBatch, np.nd
         yield part, values, at, set_numbers(values, at)
 
 
-def _new_sets(batch: pa.RecordBatch, n: int, seen: set[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The sets that are not empty and not in seen, each once: members, offsets and numbers."""
-    for _, values, at, numbers in _sets(batch, n):
-        _, firsts = np.unique(numbers, return_index=True)
-        firsts = np.array([i for i in np.sort(firsts) if at[i + 1] > at[i] and int(numbers[i]) not in seen], np.int64)
-        seen.update(numbers[firsts].tolist())
-        if len(seen) > 1_000_000:
-            seen.clear()
-        sizes = (at[1:] - at[:-1])[firsts]
-        new_at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        pick = np.repeat(at[firsts] - new_at[:-1], sizes) + np.arange(new_at[-1])
-        yield values[pick], new_at, numbers[firsts]
-
-
-def set_table(docs: DataFrame, n: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row per document: key, n_shingles and node, the number of its set (null if it is empty)."""
+def set_table(docs: DataFrame, n: int) -> DataFrame:
+    """A row per row (key, text): key, hash of the text, n_shingles, node (the number of its set, null if it is empty), sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, _, at, numbers in _sets(batch, n):
+            for part, values, at, numbers in _sets(batch, n):
                 sizes = np.diff(at)
-                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(sizes, pa.int64()), pa.array(numbers, pa.int64(), mask=sizes == 0)], names=["key", "n_shingles", "node"])
+                empty = sizes == 0
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(sizes, pa.int64()), pa.array(numbers, pa.int64(), mask=empty), pa.array(sketches(values, at), pa.binary(), mask=empty)], names=["key", "hash", "n_shingles", "node", "sketch"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(docs[text].alias("text"), docs[key].alias("key")).mapInArrow(run, f"key {kind}, n_shingles long, node long")
+    kind = docs.schema["key"].dataType
+    schema = T.StructType([T.StructField("key", kind), T.StructField("hash", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType()), T.StructField("sketch", T.BinaryType())])
+    return docs.select("text", "key", F.xxhash64("text").alias("hash")).mapInArrow(run, schema)
 
 
-def buckets(docs: DataFrame, n: int, num: int, den: int, text: str = "text") -> DataFrame:
+def buckets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """(key, node, pivot) of all buckets with at least two nodes. Members that met their pivot in the same slice
     travel under a number of their own, so a key's rows in the shuffle are one for each slice at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for values, at, numbers in _new_sets(batch, n, seen):
-                keys, which = sketch_keys(values, at, num, den)
-                nodes = numbers[which]
-                order = np.lexsort((nodes, keys))
+            for _, values, at, numbers in _sets(batch, n):
+                sizes, fresh = np.diff(at), np.zeros(len(numbers), bool)
+                for i, number in enumerate(numbers.tolist()):
+                    if sizes[i] and number not in seen:
+                        fresh[i] = True
+                        seen.add(number)
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                at = np.concatenate([[0], np.cumsum(sizes[fresh])])
+                keys, which = sketch_keys(values[np.repeat(fresh, sizes)], at, num, den)
+                nodes = numbers[fresh][which]
+                order = np.argsort(keys, kind="stable")
                 keys, nodes = keys[order], nodes[order]
                 head = np.ones(len(keys), bool)
                 head[1:] = keys[1:] != keys[:-1]
@@ -187,56 +203,15 @@ def buckets(docs: DataFrame, n: int, num: int, den: int, text: str = "text") ->
                 route = np.where(away, mix(nodes.astype(np.uint64) ^ keys.astype(np.uint64)).astype(np.int64), keys)
                 yield pa.RecordBatch.from_arrays([pa.array(route), pa.array(nodes), pa.array(keys, mask=~away), pa.array(pivots, mask=~away), pa.array(joint)], names=["route", "node", "key", "pivot", "joint"])
 
-    rows = docs.select(docs[text]).mapInArrow(run, "route long, node long, key long, pivot long, joint boolean").withColumn("absorbed", F.col("key").isNotNull())
+    rows = docs.select("text").mapInArrow(run, "route long, node long, key long, pivot long, joint boolean").withColumn("absorbed", F.col("key").isNotNull())
     w = Window.partitionBy("route", "absorbed")
     met = rows.withColumn("low", F.min("node").over(w)).withColumn("high", F.max("node").over(w)).withColumn("any", F.max("joint").over(w))
     return met.filter("absorbed or any or low < high").select(F.coalesce("key", "route").alias("key"), "node", F.coalesce("pivot", "low").alias("pivot"))
 
 
-def sketch_table(docs: DataFrame, n: int, text: str = "text") -> DataFrame:
-    """(node, size, sketch): of each set a parity sketch of two to four bits a member, a power of two, 64 at least."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            for values, at, numbers in _new_sets(batch, n, seen):
-                place, sizes, out = mix(values ^ np.uint64(0x3C6EF372FE94F82B)), np.diff(at), []
-                for i, size in enumerate(sizes.tolist()):
-                    bits = max(64, 2 << (size - 1).bit_length())
-                    odd = np.bincount((place[at[i] : at[i + 1]] & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-                    out.append(np.packbits(odd.astype(np.uint8)).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(sizes, pa.int32()), pa.array(out, pa.binary())], names=["node", "size", "sketch"])
-
-    return docs.select(docs[text]).mapInArrow(run, "node long, size int, sketch binary").dropDuplicates(["node"])
-
-
-def within_reach(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sizes, and whose sketches' Hamming distance, allow the similarity. A longer sketch
-    is folded to the other's length, which gives the sketch of that length."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for sa, x, sb, y in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
-                small, large, bits = (sa, sb, 8 * len(x)) if sa <= sb else (sb, sa, 8 * len(x))
-                u, v, other = int.from_bytes(x, "big"), int.from_bytes(y, "big"), 8 * len(y)
-                while bits != other:
-                    if bits > other:
-                        bits //= 2
-                        u = (u >> bits) ^ (u & ((1 << bits) - 1))
-                    else:
-                        other //= 2
-                        v = (v >> other) ^ (v & ((1 << other) - 1))
-                keep.append(den * small >= num * large and (u ^ v).bit_count() * (den + num) <= (den - num) * (sa + sb))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    of = lambda name: sketches.select(F.col("node").alias(name), F.col("size").alias(f"size_{name}"), F.col("sketch").alias(f"sketch_{name}"))
-    rows = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").select("a", "b", "size_a", "sketch_a", "size_b", "sketch_b")
-    return rows.mapInArrow(run, "a long, b long")
-
-
-def bucket_pairs(rows: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
-    """Of buckets (key, node, root) the pairs a < b of different roots that sizes and sketches leave in reach, each once."""
+def in_reach(members: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b), enough pairs of buckets (key, a, b, block, node, root) to join all roots between which a bucket has a pair whose
+    sizes and sketches allow the similarity. In the group of blocks a and b, members of one are compared with those of the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -244,28 +219,41 @@ def bucket_pairs(rows: DataFrame, sketches: DataFrame, num: int, den: int) -> Da
             if not batch.num_rows:
                 continue
             joined = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch])
-            key = joined.column("key").to_numpy()
-            cut = int(np.searchsorted(key, key[-1]))
+            same = np.ones(joined.num_rows, bool)
+            for c in ("key", "a", "b"):
+                column = joined.column(c).to_numpy()
+                same &= column == column[-1]
+            cut = joined.num_rows - int(np.argmin(same[::-1])) if not same.all() else 0
             rest = joined.slice(cut)
-            yield _reachable(joined.slice(0, cut), num, den)
+            yield _joining(joined.slice(0, cut), num, den)
         if rest is not None:
-            yield _reachable(rest, num, den)
-
-    members = rows.select("key", "node", "root").join(sketches, "node").select("key", "node", "root", "size", "sketch")
-    return members.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+            yield _joining(rest, num, den)
+
+    rows = members.hint("merge").join(nodes.select("node", "size", "sketch"), "node").select("key", "a", "b", "block", "node", "root", "size", "sketch")
+    return rows.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(run, "a long, b long")
+
+
+def _joining(rows: pa.Table, num: int, den: int) -> pa.RecordBatch:
+    """The pairs of whole groups, which are runs of equal (key, a, b): each row is compared with the rows 1, 2, ... places after
+    it, and roots that a pair joins are one from then on. All sketches of a group are folded to the shortest one's length."""
+    found: list[tuple[int, int]] = []
+    if rows.num_rows:
+        key, a, b, block, node, root, size = (rows.column(c).to_numpy() for c in ("key", "a", "b", "block", "node", "root", "size"))
+        raw = rows.column("sketch").to_pylist()
+        head = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        members = np.diff(np.append(head, len(key)))
+        ends = np.repeat(head + members, members)
+        own = np.array([len(x) for x in raw])
+        shortest = np.repeat(np.minimum.reduceat(own, head), members)
+        label = np.unique(root, return_inverse=True)[1]
+        parent = list(range(int(label.max()) + 1))
 
+        def top(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
 
-def _reachable(rows: pa.Table, num: int, den: int) -> pa.RecordBatch:
-    """Pairs of whole buckets, which are runs of equal keys: each row is compared with the rows 1, 2, ... places after it.
-    All sketches of a bucket are folded to the shortest one's length."""
-    key, node, root, size = (rows.column(c).to_numpy() for c in ("key", "node", "root", "size"))
-    raw = rows.column("sketch").to_pylist()
-    found = [np.zeros((0, 2), np.int64)]
-    if len(key):
-        head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        ends = np.repeat(np.append(head[1:], len(key)), np.diff(np.append(head, len(key))))
-        own = np.array([len(x) for x in raw])
-        shortest = np.repeat(np.minimum.reduceat(own, head), np.diff(np.append(head, len(key))))
         for width in np.unique(shortest):
             some = np.flatnonzero(shortest == width)
             words = np.empty((len(some), width // 8), np.uint64)
@@ -275,74 +263,33 @@ def _reachable(rows: pa.Table, num: int, den: int) -> pa.RecordBatch:
                 words[which] = np.ascontiguousarray(np.bitwise_xor.reduce(folded, axis=1)).view(np.uint64)
             place = np.full(len(key), -1)
             place[some] = np.arange(len(some))
-            i, step = some, 1
+            i, step, joins = some, 1, False
             while len(i):
                 i = i[i + step < ends[i]]
-                for part in np.array_split(i, len(i) // 200_000 + 1):
-                    j = part + step
-                    small, large = np.minimum(size[part], size[j]).astype(np.int64), np.maximum(size[part], size[j]).astype(np.int64)
-                    fit = (root[part] != root[j]) & (den * small >= num * large)
-                    x, y = part[fit], j[fit]
+                for x in np.array_split(i, len(i) // 200_000 + 1):
+                    y = x + step
+                    small, large = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
+                    fit = (label[x] != label[y]) & (den * small >= num * large) & ((a[x] == b[x]) | (block[x] != block[y]))
+                    x, y = x[fit], y[fit]
                     apart = np.bitwise_count(words[place[x]] ^ words[place[y]]).sum(1, dtype=np.int64)
                     near = apart * (den + num) <= (den - num) * (small + large)[fit]
-                    found.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], 1)[near])
+                    for p, q in zip(x[near].tolist(), y[near].tolist(), strict=True):
+                        u, v = top(int(label[p])), top(int(label[q]))
+                        if u != v:
+                            parent[max(u, v)] = min(u, v)
+                            found.append((int(node[p]), int(node[q])))
+                            joins = True
+                if joins:
+                    label, joins = np.array([top(x) for x in range(len(parent))])[label], False
                 step += 1
-    pairs = np.unique(np.concatenate(found), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-
-def packed_texts(docs: DataFrame, n: int, text: str = "text") -> DataFrame:
-    """(node, packed): a compressed text of each set, once or more."""
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack, seen = zstandard.ZstdCompressor(level=1).compress, set()
-        for batch in batches:
-            for part, _, at, numbers in _sets(batch, n):
-                data, offsets = utf8(part.column(0))
-                nodes, rows = numbers.tolist(), []
-                for i in np.flatnonzero(np.diff(at)).tolist():
-                    if nodes[i] not in seen:
-                        seen.add(nodes[i])
-                        rows.append(i)
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(numbers[rows], pa.int64()), pa.array([pack(data[offsets[i] : offsets[i + 1]].tobytes()) for i in rows], pa.binary())], names=["node", "packed"])
-
-    return docs.select(docs[text]).mapInArrow(packed, "node long, packed binary")
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
 
-def verify(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int, text: str = "text") -> DataFrame:
-    """Those of the pairs (a, b) whose sets reach the similarity. A pivot's text goes, compressed, to each of its salts once."""
-
-    counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / ROWS_PER_SALT).cast("int").alias("salts"))
-    salted = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
-    wanted = salted.select(F.col("b").alias("node"), "a", "salt", F.lit(1).alias("turn")).unionByName(salted.select(F.col("a").alias("node"), "a", "salt", F.lit(0).alias("turn")).distinct())
-    there = packed_texts(docs, n, text)
-    # Both sides are shuffled at any size: a plan that broadcasts small ones says nothing about large ones.
-    rows = wanted.hint("merge").join(there, "node").select("a", "salt", "turn", "node", "packed").repartition("a", "salt").sortWithinPartitions("a", "salt", "turn", "node")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        pivot, members = None, np.zeros(0, np.uint64)
-        for batch in batches:
-            a, b = [], []
-            ps, turns, nodes = (batch.column(i).to_pylist() for i in (0, 2, 3))
-            for low in range(0, len(ps), 1024):
-                values, at = shingle_sets(pa.array([unpack(x) for x in batch.column(4).slice(low, 1024).to_pylist()], pa.binary()).cast(pa.string()), n)
-                for i in range(len(at) - 1):
-                    p, other = ps[low + i], values[at[i] : at[i + 1]]
-                    if turns[low + i] == 0:
-                        pivot, members = p, other
-                    elif p == pivot:
-                        small, large = (members, other) if len(members) <= len(other) else (other, members)
-                        where = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                        both = int(np.count_nonzero(large[where] == small))
-                        if den * both >= num * (len(small) + len(large) - both):
-                            a.append(p)
-                            b.append(nodes[low + i])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return rows.mapInArrow(compare, "a long, b long").distinct()
+def block_pairs(rows: DataFrame, group: str) -> DataFrame:
+    """rows with the number of blocks of their group, each in its block and once for every pair (a, b) of blocks it belongs to."""
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumn("a", F.least("block", "other")).withColumn("b", F.greatest("block", "other")).drop("other", "blocks")
 
 
 def links_between(values: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -365,104 +312,104 @@ def links_between(values: np.ndarray, at: np.ndarray, left: np.ndarray, right: n
     return linked & (left[:, None] != right)
 
 
-def link_counts(members: DataFrame, docs: DataFrame, n: int, num: int, den: int, text: str = "text") -> DataFrame:
-    """(node, links) of members (node, root, size, copies), the sets of components: how many documents with other sets reach
-    the similarity with each."""
+def spanning_forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Enough of the links to connect all that they connect, found breadth first."""
+    size = int(max(left.max(initial=-1), right.max(initial=-1))) + 1
+    touches = np.zeros((size, size), bool)
+    touches[np.ix_(left, right)] = linked
+    touches |= touches.T
+    todo, found = touches.any(1), []
+    for start in np.flatnonzero(todo).tolist():
+        if not todo[start]:
+            continue
+        todo[start], front = False, [start]
+        while front:
+            x = front.pop()
+            new = np.flatnonzero(touches[x] & todo).tolist()
+            todo[new] = False
+            found += [(x, y) for y in new]
+            front += new
+    return found
+
+
+def compare_families(members: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(node, links, other) of members (node, root, size, copies, key, hash), the sets of families: rows without other count the
+    documents with other sets that reach the similarity with node, rows with one are links that connect all that links connect."""
     number = F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("size") / BLOCK_SHINGLES)).cast("int")
-    # A row for at least a block's worth of sets or shingles, so this side is small.
-    large = members.groupBy("root").agg(number.alias("blocks")).filter("blocks > 1")
-    dealt = members.join(F.broadcast(large), "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    wanted = dealt.select("root", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "node", "copies")
-    rows = wanted.hint("merge").join(packed_texts(docs, n, text), "node").select("root", "a", "b", "node", "block", "copies", "packed")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
+    dealt = block_pairs(members.select("root", "node", "copies").join(members.groupBy("root").agg(number.alias("blocks")), "root"), "root")
+    # A text for each set. The documents are shuffled at any size: a plan that broadcasts a small side says nothing about a large one.
+    wanted = members.select("node", F.col("key").alias("_key"), F.col("hash").alias("_hash"))
+    same = (F.col("hash") == F.col("_hash")) & F.col("key").eqNullSafe(F.col("_key"))
+    texts = docs.withColumn("hash", F.xxhash64("text")).join(wanted.hint("merge"), same).select("node", "text").dropDuplicates(["node"])
+    rows = dealt.hint("merge").join(texts, "node").select("root", "a", "b", "node", "block", "copies", "text")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held = None, []
 
-        def counted() -> tuple[np.ndarray, np.ndarray]:
-            values, at = shingle_sets(pa.array([x[3] for x in held], pa.binary()).cast(pa.string()), n)
-            block, copies = np.array([x[1] for x in held]), np.array([x[2] for x in held], np.int64)
+        def compared() -> pa.RecordBatch:
+            values, at = shingle_sets(pa.array([x[3] for x in held], pa.string()), n)
+            node, block, copies = (np.array([x[i] for x in held], np.int64) for i in range(3))
             left, right = np.flatnonzero(block == group[1]), np.flatnonzero(block == group[2])
-            linked, links = links_between(values, at, left, right, num, den).astype(np.int64), np.zeros(len(held), np.int64)
-            links[left] += linked @ copies[right]
+            linked, links = links_between(values, at, left, right, num, den), np.zeros(len(held), np.int64)
+            links[left] += linked.astype(np.int64) @ copies[right]
             if group[1] != group[2]:
-                links[right] += linked.T @ copies[left]
-            return np.array([x[0] for x in held], np.int64), links
+                links[right] += linked.T.astype(np.int64) @ copies[left]
+            forest = np.array(spanning_forest(linked, left, right), np.int64).reshape(-1, 2)
+            some = np.flatnonzero(links)
+            other = np.concatenate([np.zeros(len(some), np.int64), node[forest[:, 1]]])
+            counts = np.arange(len(other)) < len(some)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([node[some], node[forest[:, 0]]])), pa.array(np.concatenate([links[some], np.zeros(len(forest), np.int64)])), pa.array(other, mask=counts)], names=["node", "links", "other"])
 
         for batch in batches:
-            found = []
-            for root, a, b, node, block, copies, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for root, a, b, node, block, copies, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (root, a, b) != group:
                     if len(held) > 1:
-                        found.append(counted())
+                        yield compared()
                     group, held = (root, a, b), []
-                if not held or held[-1][0] != node:
-                    held.append((node, block, copies, unpack(packed)))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["node", "links"])
+                held.append((node, block, copies, text))
         if len(held) > 1:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in counted()], names=["node", "links"])
+            yield compared()
 
     sorted_rows = rows.repartition("root", "a", "b").sortWithinPartitions("root", "a", "b", "node")
-    return sorted_rows.mapInArrow(count, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+    return sorted_rows.mapInArrow(compare, "node long, links long, other long")
 
 
-def similar_groups(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, key: str = "doc_id", text: str = "text", count: bool = True) -> DataFrame:
-    """A row per document: key, n_shingles, component_id (the smallest key that links lead to) and, with count, n_links (how
+def similar_groups(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row per document: key, n_shingles, component_id (the smallest key that links lead to) and n_links (how
     many other documents reach the similarity with it, exact copies included)."""
     docs = docs.select(docs[key].alias("key"), docs[text].alias("text"))
+    spark = docs.sparkSession
     found = stage(buckets(docs, n, num, den))
-    release(docs.sparkSession)
-    sketches = stage(sketch_table(docs, n))
-    met = found.filter("pivot <> node").groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("shared"))
-    best = met.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
-    tried = stage(within_reach(best, sketches, num, den))
-    links = stage(verify(tried, docs, n, num, den))
-    roots = checkpoint(components(links))
-    release(docs.sparkSession)
-
-    def placed(rows: DataFrame) -> DataFrame:
-        return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-
-    rows = stage(placed(found.select("key", "node")))
-    apart = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members")).filter("low < high").select("key", "members")
-    open_rows = stage(rows.join(apart, "key"))
-    release(docs.sparkSession)
-    inside = bucket_pairs(open_rows.filter(F.col("members") <= WHOLE), sketches, num, den)
-    inside = inside.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = stage(verify(stage(inside), docs, n, num, den))
-    if not more.isEmpty():
-        links = links.unionByName(more)
-        roots = checkpoint(components(links))
-    release(docs.sparkSession)
-    large = open_rows.filter(F.col("members") > WHOLE).select("key", "node", "root").distinct()
-    largest = large.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("largest"))
-    outside = large.join(largest, "key").filter("root <> largest").withColumn("turn", F.floor((F.row_number().over(Window.partitionBy("key").orderBy("node")) - 1) / PIVOTS))
-    outside = checkpoint(outside.select("key", F.col("node").alias("a"), "turn"))
-    rounds = outside.agg(F.max("turn")).first()[0]
-    for turn in range(0 if rounds is None else rounds + 1):
-        now = placed(outside.filter(F.col("turn") == turn).withColumnRenamed("a", "node").select("key", "node")).select("key", F.col("node").alias("a"), F.col("root").alias("root_a"))
-        other = placed(large.select("key", "node")).select("key", F.col("node").alias("b"), F.col("root").alias("root_b"))
-        more = now.join(other, "key").filter("root_a <> root_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = stage(more.join(known, ["a", "b"], "left_anti"))
-        tried = tried.unionByName(more)
-        new = stage(verify(stage(within_reach(more, sketches, num, den)), docs, n, num, den))
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            roots = checkpoint(components(links))
-    release(docs.sparkSession)
-
-    table = checkpoint(set_table(docs, n, "key"))
-    by_node = table.filter("node is not null").groupBy("node").agg(F.min("key").alias("least"), F.count("*").alias("copies"), F.min("n_shingles").alias("size"))
-    by_node = checkpoint(by_node)
-    by_root = placed(by_node).groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed(by_node).join(by_root, "root").select("node", "component_id", "copies")
-    if count:
-        counts = stage(link_counts(by_node.join(roots, "node").select("node", "root", "size", "copies"), docs, n, num, den))
-        release(docs.sparkSession)
-        named = named.join(counts, "node", "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1)
+    release(spark)
+    table = stage(set_table(docs, n))
+    least = F.min(F.struct("key", "hash")).alias("least")
+    nodes = stage(table.filter("node is not null").groupBy("node").agg(F.any_value("sketch").alias("sketch"), F.any_value("n_shingles").alias("size"), least, F.count("*").alias("copies"), F.min("key").alias("smallest")))
+
+    shared = found.filter("pivot <> node").groupBy(F.col("pivot").alias("p"), F.col("node").alias("q")).agg(F.count("*").alias("shared"))
+    best = shared.groupBy("q").agg(F.max_by("p", F.struct("shared", "p")).alias("p"))
+    ends = best.select(F.col("q").alias("key"), F.explode(F.array("p", "q")).alias("node"))
+    first = stage(in_reach(ends.select("key", F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("block"), "node", F.col("node").alias("root")), nodes, num, den))
+    families = checkpoint(components(first))
+    release(spark)
+
+    rows = found.select("key", "node").join(families, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = stage(rows)
+    number = F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int")
+    apart = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), number.alias("blocks")).filter("low < high").select("key", "blocks")
+    members = block_pairs(rows.hint("merge").join(apart, "key").distinct(), "key")
+    second = stage(in_reach(members, nodes, num, den))
+    discard(found, rows)
+    release(spark)
+    families = checkpoint(components(first.unionByName(second)))
+    members = families.join(nodes, "node").select("node", "root", "size", "copies", "least.key", "least.hash")
+    compared = stage(compare_families(stage(members), docs, n, num, den))
+    release(spark)
+    roots = components(compared.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
+    placed = nodes.select("node", "copies", "smallest").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    links = compared.filter("other is null").groupBy("node").agg(F.sum("links").alias("links"))
+    named = placed.join(placed.groupBy("root").agg(F.min("smallest").alias("component_id")), "root").join(links, "node", "left")
+    named = stage(named.select("node", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    discard(first, second, compared)
+    release(spark)
     out = table.join(named, "node", "left")
-    shown = [F.col("key").alias(key), "n_shingles", F.coalesce("component_id", "key").alias("component_id")]
-    return out.select(*shown, *([F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if count else []))
+    return out.select(F.col("key").alias(key), "n_shingles", F.coalesce("component_id", "key").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
