@@ -1,7 +1,9 @@
 import io
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from veilsift.llm import token_table as t
 from veilsift.llm import tokenizer_files
@@ -13,9 +15,29 @@ def test_ids_match_the_library():
     path = tokenizer_files.path("byte_bpe_50k.json")
     plain = Tokenizer.from_file(path)
     texts = ["", " ", "a  b", " a", "a ", "a\n b", "a \n b", "it's we'll 12 34,5", "é  x", "  y", "x\x1c y", "tab\t tab", "日本 語", "<|endoftext|> a", "a<|endoftext|>b", " " * 9, "long " * 500]
+    r = random.Random(4)
+    parts = [" ", " ", " ", "  ", "\n", "\u00a0", "\u2003", "\x85", "\x1c", "\u3000", "\t", "a", "it's", "12", "é", "日本", "$$", "<|endoftext|>", "word", "Ünïcode", ".", ","]
+    texts += ["".join(r.choices(parts, k=r.randrange(1, 25))) for _ in range(1500)] + [None, "x " * 300_000]
     enc = t.ChunkEncoder(path)
-    for text, ids in zip(texts, enc.encode(texts), strict=True):
-        assert np.frombuffer(ids, enc.dtype).tolist() == plain.encode(text, add_special_tokens=False).ids, text
+    for _ in range(2):
+        ids, at = enc.encode(pa.array(texts))
+        for k, text in enumerate(texts):
+            assert ids[at[k] : at[k + 1]].tolist() == plain.encode(text or "", add_special_tokens=False).ids, text
+        assert enc.encode(pa.array([], pa.string()))[1].tolist() == [0] and ids.dtype == np.dtype("<u2")
+
+
+def test_forgotten_chunks_are_encoded_again(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_files.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    monkeypatch.setattr(t, "CACHE_CHUNKS", 20)
+    monkeypatch.setattr(t, "JOINED", 3)
+    enc = t.ChunkEncoder(path)
+    for i in range(30):
+        texts = [f"one word{j} two  {j}" if j % 4 == 0 else f"one word{j} two, {j}" for j in range(i, i + 9)]
+        ids, at = enc.encode(pa.array(["skipped", *texts]).slice(1))
+        assert [ids[at[k] : at[k + 1]].tolist() for k in range(9)] == [plain.encode(x, add_special_tokens=False).ids for x in texts]
 
 
 def test_file_round_trip_and_lookup():

@@ -24,7 +24,6 @@ from __future__ import annotations
 import os
 import struct
 import zlib
-from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,6 +31,7 @@ from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,12 +50,21 @@ CACHE_CHUNKS = 1_000_000
 # --- encoding ---------------------------------------------------------------------------------
 
 
+#: Characters that any of the libraries takes for white space; two in a row, or one at an end, make a text uneven.
+_SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+UNEVEN = rf"\A{_SPACE}|{_SPACE}{_SPACE}|{_SPACE}\z"
+#: Chunks that the library gets in one string.
+JOINED = 2_000
+
+
 class ChunkEncoder:
     """Byte-level BPE of whole texts through the tokenizers library, chunk by chunk.
 
     The vocabulary's splitting pattern never joins text across a single space between two characters
     that are not white space, so such spaces start chunks whose ids do not depend on their neighbours.
-    Ids of chunks are remembered; only new ones are given to the library, all of a batch at once.
+    Ids of chunks are remembered; only new ones are given to the library, many in one string, whose ids
+    are told apart by the tokens' lengths in bytes. A text with white space that doesn't stand alone
+    between others is cut by a pattern, and its chunks are given to the library one by one.
     """
 
     def __init__(self, path: str):
@@ -66,31 +75,79 @@ class ChunkEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        # A byte-level token's name has a character for each byte.
+        self.n_bytes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())], np.int64)
         self.split = re.compile(r"(?<=\S)(?= \S)").split
-        self.uneven = re.compile(r"^\s|\s\s|\s$").search
-        self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.known: dict[str, bytes] = {"": b""}
-
-    def chunks(self, text: str) -> list[str]:
-        """Chunks of a text; in one whose white space stands alone between others, every space starts a chunk."""
-        if self.uneven(text):
-            return self.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as bytes of self.dtype."""
-        chunks = [self.chunks(t) for t in texts]
-        new = list({c for cs in chunks for c in cs}.difference(self.known))
-        if len(self.known) + len(new) > CACHE_CHUNKS:
-            self.known = {"": b""}
-            new = list({c for cs in chunks for c in cs if c})
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            for chunk, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[chunk] = array(self.code, found.ids).tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, cs)) for cs in chunks]
+        self._forget()
+
+    def _forget(self) -> None:
+        """Numbers of known chunks, by their text and, for those that follow a space, by the text after it; their ids."""
+        self.plain: dict[str, int] = {}
+        self.spaced: dict[str, int] = {}
+        self.ids, self.size = np.zeros(1 << 16, self.dtype), 0
+        self.begins, self.sizes, self.known = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), 0
+
+    def _remember(self, names: dict[str, int], chunks: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        while self.size + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.known + len(ends) > len(self.begins):
+            self.begins, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begins, self.sizes))
+        begins, new = np.concatenate([[0], ends[:-1]]), slice(self.known, self.known + len(ends))
+        self.ids[self.size : self.size + len(ids)] = ids
+        self.begins[new], self.sizes[new] = begins + self.size, ends - begins
+        names.update(zip(chunks, range(self.known, self.known + len(ends)), strict=True))
+        self.size, self.known = self.size + len(ids), self.known + len(ends)
+
+    def _numbers(self, chunks: list[str], spaced: bool) -> np.ndarray:
+        """The number of each chunk, new ones encoded; of the spaced ones, what follows their space is given."""
+        known = self.spaced if spaced else self.plain
+        numbers = list(map(known.get, chunks))
+        if None not in numbers:
+            return np.array(numbers, np.int64)
+        new = list(dict.fromkeys(c for c, k in zip(chunks, numbers, strict=True) if k is None))
+        for a in range(0, len(new), 10 * JOINED):
+            part = new[a : a + 10 * JOINED]
+            if spaced:
+                texts = [" " + " ".join(part[b : b + JOINED]) for b in range(0, len(part), JOINED)]
+                ids = np.concatenate([np.array(x.ids, np.int64) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+                size = np.cumsum([len(c.encode()) + 1 for c in part])
+                ends = np.searchsorted(np.cumsum(self.n_bytes[ids]), size) + 1
+            else:
+                found = [x.ids for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+                ids, ends = np.array([i for x in found for i in x], np.int64), np.cumsum([len(x) for x in found])
+            self._remember(known, part, ids, ends)
+        return np.array(list(map(known.__getitem__, chunks)), np.int64)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, null counting as empty, and n + 1 offsets into them."""
+        if self.known > CACHE_CHUNKS:
+            self._forget()
+        texts = texts.fill_null("")
+        uneven = pc.match_substring_regex(texts, UNEVEN).to_numpy(zero_copy_only=False)
+        pieces = pc.split_pattern(pc.if_else(pa.array(uneven), "", texts), " ")
+        first = pieces.offsets.to_numpy().astype(np.int64) - pieces.offsets[0].as_py()
+        coded = pieces.flatten().dictionary_encode()
+        codes, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        later = np.ones(len(codes), bool)
+        later[first[:-1]] = False
+        used = np.flatnonzero(np.bincount(codes[later], minlength=len(names)))
+        number = np.zeros(len(names), np.int64)
+        number[used] = self._numbers(names.take(pa.array(used)).to_pylist(), True)
+        chunk = number[codes]
+        chunk[first[:-1]] = self._numbers(names.take(pa.array(codes[first[:-1]])).to_pylist(), False)
+        count = np.diff(first)
+        rows = np.flatnonzero(uneven)
+        if len(rows):
+            parts = [self.split(texts[i].as_py()) for i in rows.tolist()]
+            count[rows] = [len(x) for x in parts]
+            numbers = self._numbers([c for x in parts for c in x], False)
+            even, whole = np.repeat(~uneven, count), np.empty(int(count.sum()), np.int64)
+            whole[even] = chunk[np.repeat(~uneven, np.diff(first))]
+            whole[~even] = numbers
+            chunk, first = whole, np.concatenate([[0], np.cumsum(count)])
+        size = self.sizes[chunk]
+        ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        return self.ids[np.repeat(self.begins[chunk] - ends[:-1], size) + np.arange(ends[-1])], ends[first]
 
 
 @lru_cache(maxsize=2)
@@ -176,11 +233,12 @@ class TableWriter:
     def close(self) -> None:
         self._end_block()
         bits = max(64, (len(self.keys) * BLOOM_BITS + 63) // 64 * 64)
-        bloom = np.zeros(bits, np.uint8)
-        if self.keys:
-            bloom[_bloom_places(self.keys, bits).ravel()] = 1
+        bloom = np.zeros(bits // 8, np.uint8)
+        for a in range(0, len(self.keys), 100_000):
+            at = _bloom_places(self.keys[a : a + 100_000], bits).ravel()
+            np.bitwise_or.at(bloom, at >> np.uint64(3), (np.uint64(128) >> (at & np.uint64(7))).astype(np.uint8))
         bloom_at = self.at
-        self._write(np.packbits(bloom).tobytes())
+        self._write(bloom.tobytes())
         index_at = self.at
         for key, at, length, before in self.index:
             self._write(_varint(len(key)) + key + _varint(at) + _varint(length) + _varint(before))
@@ -208,6 +266,7 @@ class TableReader:
             before, at = _read_varint(raw, at)
             self.index.append((key, place, length, before))
         self.firsts = [x[0] for x in self.index]
+        self.bloom: np.ndarray | None = None
 
     def entries(self, k: int) -> Iterator[tuple[bytes, int, int, bytes]]:
         """Of block k: (key, ids of the file before it, n_tokens, ids)."""
@@ -231,8 +290,10 @@ class TableReader:
             yield from self.entries(k)
 
     def may_hold(self, key: bytes) -> bool:
-        self.file.seek(self.bloom_at)
-        bits = np.frombuffer(self.file.read(self.bits // 8), np.uint8)
+        if self.bloom is None:
+            self.file.seek(self.bloom_at)
+            self.bloom = np.frombuffer(self.file.read(self.bits // 8), np.uint8)
+        bits = self.bloom
         at = _bloom_places([key], self.bits)[0]
         return bool(np.all(bits[at >> np.uint64(3)] >> (7 - (at & np.uint64(7))).astype(np.uint8) & 1))
 
@@ -252,18 +313,21 @@ class TableReader:
 # --- Spark ------------------------------------------------------------------------------------
 
 
-def _open(path: str, write: bool):
-    """A file in any store that Arrow knows; plain paths are local or mounted."""
+def _store(path: str):
+    """The file system of a path, and the path in it. Hadoop's names of stores become those that Arrow knows; plain paths are local or mounted."""
     from pyarrow import fs
 
-    store, inner = fs.FileSystem.from_uri(path)
+    scheme, colon, rest = path.partition("://")
+    return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3", "wasbs": "abfss"}.get(scheme, scheme) + colon + rest)
+
+
+def _open(path: str, write: bool):
+    store, inner = _store(path)
     return store.open_output_stream(inner) if write else store.open_input_file(inner)
 
 
 def _folder(path: str) -> None:
-    from pyarrow import fs
-
-    store, inner = fs.FileSystem.from_uri(path)
+    store, inner = _store(path)
     store.create_dir(inner, recursive=True)
 
 
@@ -282,14 +346,17 @@ def write_tables(docs: DataFrame, tokenizer: str, folder: str | None = None, key
         writer, path, first = None, "", None
         for batch in batches:
             for part in _parts(batch, 4 << 20):
-                keys, texts, hashes = (c.to_pylist() for c in part.columns)
                 enc = encoder(tokenizer)
-                end = b"" if end_id is None else np.array([end_id], enc.dtype).tobytes()
-                for k, ids, h in zip(keys, enc.encode([t or "" for t in texts]), hashes, strict=True):
+                ids, offsets = enc.encode(part.column(1))
+                if end_id is not None:
+                    n = np.arange(1, len(offsets))
+                    ids, offsets = np.insert(ids, offsets[1:], enc.dtype.type(end_id)), np.concatenate([[0], offsets[1:] + n])
+                raw, width = ids.tobytes(), enc.dtype.itemsize
+                for k, h, a, b in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                     if writer is None:
                         path = f"{folder}/{uuid4().hex}.sst"
                         writer, first = TableWriter(_open(path, True)), (key_bytes(k), h)
-                    writer.add(key_bytes(k), ids + end, (len(ids) + len(end)) // enc.dtype.itemsize)
+                    writer.add(key_bytes(k), raw[a * width : b * width], b - a)
         if writer is not None:
             writer.close()
             writer.file.close()
