@@ -56,3 +56,37 @@ def test_empty_table_and_only_empty_texts(spark):
 def test_plan_is_native(spark):
     df = spark.createDataFrame([(1, 3, "a")], "doc_id long, size long, source string")
     assert "Python" not in m.allocate(df)._jdf.queryExecution().executedPlan().toString()
+
+
+def by_sql(rows, tmp_path):
+    import duckdb
+    import pyarrow as pa
+
+    from veilsift.llm.queries import ORACLE
+
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": [r[1] for r in rows], "source": pa.array([r[2] for r in rows], pa.string())}))
+    return sorted(con.sql(f"SELECT doc_id, size, taken FROM ({ORACLE['op9_source_mix']})").fetchall(), key=str)
+
+
+@pytest.mark.parametrize("key", [7, None])
+def test_repeated_ids_and_rows_at_the_edge(spark, tmp_path, key):
+    rows = [(key, "w " * 12, "a") for _ in range(300)] + [(100 + i, "w " * (3 + i), "a") for i in range(20)] + [(None, "v " * (i % 7), "b") for i in range(40)]
+    df = spark.createDataFrame([(i, t, s, 0, None) for i, t, s in rows], "doc_id long, text string, source string, rank int, edge string").repartition(5)
+    got = m.allocate(df.withColumn("size", m.size_in_words(df.text))).collect()
+    assert sorted(((x.doc_id, x.size, x.mix.taken) for x in got), key=str) == by_sql(rows, tmp_path)
+    for s in "ab":
+        own = [x for x in got if x.source == s]
+        assert abs(sum(x.mix.taken for x in own) - own[0].mix.target) <= max(x.size for x in own)
+    assert sum(len(t.split()) for *_, t in [(r.text,) for r in m.mix(df).collect()]) == sum(x.mix.taken for x in got)
+
+
+def test_long_documents_have_greater_inclusion_odds(spark):
+    rows = [(i, 10 if i % 2 else 40, "a") for i in range(8000)]
+    got = [x for x in m.allocate(spark.createDataFrame(rows, "doc_id long, size long, source string")).collect() if x.source == "a"]
+    whole = min(x.mix.copies for x in got)
+    share = {s: sum(x.mix.copies - whole for x in got if x.size == s) / 4000 for s in (10, 40)}
+    odds = {s: v / (1 - v) for s, v in share.items()}
+    want = (40 / (40 + 25)) / (10 / (10 + 25))
+    assert 0.05 < share[10] < share[40] < 0.95 and abs(odds[40] / odds[10] / want - 1) < 0.2, (share, want)
+    assert sum(x.mix.taken for x in got) == pytest.approx(got[0].mix.target, abs=40)

@@ -75,19 +75,19 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MIX_SQL = r"""
-    WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-                      (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM documents),
-    s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+    WITH d AS (SELECT doc_id, source, size, (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || size), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
+          FROM (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents)),
+    s AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) FILTER (size > 0) AS n FROM d GROUP BY source),
     w AS (SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight, 1.5 * (sum(source_size) OVER ())::DOUBLE AS total, (2 * source_size)::DOUBLE AS most FROM s),
     c AS (SELECT *, most / weight < (total - coalesce(sum(most) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS capped
           FROM w WINDOW b AS (ORDER BY most / weight, source NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
     l AS (SELECT *, (total - coalesce(sum(most) FILTER (capped) OVER (), 0)) / sum(weight) FILTER (NOT capped) OVER () AS level FROM c),
-    t AS (SELECT source, source_size, CASE WHEN capped THEN most ELSE weight * level END AS target FROM l),
+    t AS (SELECT source, source_size, coalesce(source_size::DOUBLE / nullif(n, 0), 0.0) AS mean, CASE WHEN capped THEN most ELSE weight * level END AS target FROM l),
     p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
     n AS (SELECT *, greatest(0.0, target - whole * source_size) AS need, coalesce(greatest(0.0, target - whole * source_size) / nullif(source_size, 0), 0) AS rest FROM p),
-    r AS (SELECT d.doc_id, d.size, n.source, n.source_size, n.target, n.whole, n.need, n.rest, (u / (1.0 - u)) / (rest / (1.0 - rest)) AS q FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source),
-    k AS (SELECT *, CASE WHEN rest <= 0 THEN 281474976710655 ELSE floor(q / (1.0 + q) * 281474976710656.0)::BIGINT END AS rank FROM r),
-    a AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id::VARCHAR ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior FROM k)
+    r AS (SELECT d.doc_id, d.size, n.source, n.source_size, n.target, n.whole, n.need, n.rest, (u / (1.0 - u)) / nullif(rest / (1.0 - rest) * (2.0::DOUBLE * size / nullif(size + mean, 0)), 0) AS q FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source),
+    k AS (SELECT *, CASE WHEN rest <= 0 OR size <= 0 THEN 281474976710655 ELSE floor(q / (1.0 + q) * 281474976710656.0)::BIGINT END AS rank FROM r),
+    a AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY rank, coalesce(doc_id::VARCHAR, ''), size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior FROM k)
     SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN rest > 0 AND prior + size / 2 <= need THEN 1 ELSE 0 END))::BIGINT AS taken FROM a"""
 ORACLE["op9_source_mix"] = MIX_SQL
 
