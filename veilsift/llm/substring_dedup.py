@@ -10,12 +10,14 @@ whose segment has copies, are reported as intervals. These go back to all segmen
 and each document drops the words that its intervals cover.
 
 An anchor with more than HOT different segments, say a very common line in ever new surroundings, would
-make one large shard. Its windows are told apart by fingerprints of all their words instead, counted by
-an aggregation: an exact way for what the shards cannot hold.
+make one large shard. Its segments are cut into their windows, which are segments of their own: one of all
+windows with equal words is kept, with their number, those that occur once are dropped, and the others are
+dealt to the shards by their words. What the shards report goes back to all windows with the same words.
 
 Words are compared by 64-bit fingerprints. Windows are judged on the input. Null texts have no words;
 texts shorter than a window lose nothing; long texts are held one at a time; rows that repeat a key and
-text count as two documents and lose the same words; an empty table gives an empty table.
+text count as two documents and lose the same words; an empty table gives an empty table. Other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .fm_index import DEPTH, FMIndex
-from .staging import release, stage
+from .staging import discard, release, stage
 from .textcols import _power, mix, ngram_hashes, slices, spans, utf8, word_hashes
 
 WINDOW, ANCHOR = 35, 8
@@ -143,24 +145,45 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     pieces = stage(docs.join(by_row, "row").select("text", "items").mapInArrow(cut, "route long, segment long, offset short, copies long, words binary"))
     release(docs.sparkSession)
     total = pieces.filter("words is not null").agg(F.sum(F.octet_length("words") / 8)).first()[0] or 0
+    # Windows of hot anchors: one of each kind that occurs twice or more.
+    windows = pieces.filter("words is null").select("route", "segment", "offset", "copies")
+    kinds = windows.groupBy("route").agg(F.sum("copies").alias("copies"), F.min(F.struct("segment", "offset")).alias("at")).filter("copies > 1").select("route", "copies", "at.segment", "at.offset")
+    placed = kinds.join(kept.filter("hot").select("segment", "row", "start"), "segment").select("row", F.struct("route", "copies", (F.col("start") + F.col("offset")).alias("start")).alias("item"))
+    by_row = placed.groupBy("row").agg(F.collect_list("item").alias("items"))
+
+    def cut_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(utf8(batch.column(0))[1], SLICE_BYTES):
+                h, first = _hashes(batch.column(0).slice(a, b - a))
+                items = batch.column(1).slice(a, b - a)
+                flat, doc = items.flatten(), np.repeat(np.arange(b - a), items.value_lengths().to_numpy(zero_copy_only=False))
+                start, raw = (first[doc] + flat.field("start").to_numpy()).tolist(), h.view(np.uint8).tobytes()
+                yield pa.RecordBatch.from_arrays([flat.field("route"), flat.field("copies"), pa.array([raw[8 * i : 8 * (i + window)] for i in start], pa.binary())], names=["route", "copies", "words"])
+
+    hot = stage(docs.join(by_row, "row").select("text", "items").mapInArrow(cut_windows, "route long, copies long, words binary"))
+    release(docs.sparkSession)
+    total += hot.count() * window
     shards = max(int(total // SHARD_WORDS) + 1, docs.sparkSession.sparkContext.defaultParallelism)
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, weights, words = [], [], []
+        names, weights, words, whole = [], [], [], []
         for batch in batches:
             names.append(batch.column(0).to_numpy())
             weights.append(batch.column(1).to_numpy())
             words += batch.column(2).to_pylist()
+            whole.append(batch.column(3).to_numpy(zero_copy_only=False))
         if words:
             offsets = np.concatenate([[0], np.cumsum([len(w) // 8 for w in words])]).astype(np.int64)
-            found = repeated_in_shard(np.concatenate(names), np.concatenate(weights), np.frombuffer(b"".join(words), np.uint64), offsets, window)
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in found], names=["segment", "first", "last"])
-
-    searched = pieces.filter("words is not null").repartition(shards, "route").select("segment", "copies", "words").mapInArrow(shard, "segment long, first long, last long")
-    windows = pieces.filter("words is null").select("route", "segment", "offset", "copies")
-    common = windows.groupBy("route").agg(F.sum("copies").alias("occurs")).filter("occurs > 1").select("route")
-    counted = windows.join(common, "route").select("segment", F.col("offset").cast("long").alias("first"), (F.col("offset") + 1).cast("long").alias("last"))
-    found = stage(searched.unionByName(counted))
+            number, low, high = repeated_in_shard(np.arange(len(words)), np.concatenate(weights), np.frombuffer(b"".join(words), np.uint64), offsets, window)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)[number]), pa.array(low), pa.array(high), pa.array(np.concatenate(whole)[number])], names=["name", "first", "last", "whole"])
+
+    cold = pieces.filter("words is not null").select("route", F.col("segment").alias("name"), "copies", "words", F.lit(True).alias("whole"))
+    dealt = cold.unionByName(hot.select("route", F.col("route").alias("name"), "copies", "words", F.lit(False).alias("whole")))
+    searched = dealt.repartition(shards, "route").select("name", "copies", "words", "whole").mapInArrow(shard, "name long, first long, last long, whole boolean")
+    searched = stage(searched)
+    counted = windows.join(searched.filter("not whole").select(F.col("name").alias("route")), "route").select("segment", F.col("offset").cast("long").alias("first"), (F.col("offset") + 1).cast("long").alias("last"))
+    found = stage(searched.filter("whole").select(F.col("name").alias("segment"), "first", "last").unionByName(counted))
+    discard(distinct, pieces, hot, searched)
     release(docs.sparkSession)
     return all_segments.join(found, "segment").select("row", (F.col("start") + F.col("first")).cast("int").alias("from"), (F.col("start") + F.col("last")).cast("int").alias("to"))
 
