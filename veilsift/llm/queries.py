@@ -161,7 +161,9 @@ def link_digests(linked: DataFrame) -> DataFrame:
 
 @query
 def op5_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_digests(tool_links.link(table(spark, sf_dir, "conversations")))
+    """The plain conversations and, under the numbers below zero, the same with turns made into calls and results."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return link_digests(tool_links.link(turns.unionByName(tool_links.seeded(turns.withColumn("conv_id", -1 - F.col("conv_id"))))))
 
 
 @query
@@ -192,6 +194,7 @@ ORACLE["tool_links_seeded"] = """
              ELSE '{"content":null,"conversation":' || conv_id || ',"role":"assistant","tool_calls":[{"arguments":"{\\"limit\\":' || CASE WHEN turn % 3 = 0 THEN '\\"ten\\"' ELSE '10' END || ',\\"query\\":\\"' || word || '\\"}","depends_on":['
                   || CASE WHEN turn % 5 = 3 THEN '"c' || (turn - 2) || '"' ELSE '' END || '],"id":"c' || turn || '","level":' || coalesce(own_level::VARCHAR, 'null') || ',"name":"search"}],"turn":' || turn || '}' END) AS message_sha256
     FROM m"""
+ORACLE["op5_tool_links"] += f" UNION ALL SELECT * FROM ({ORACLE['tool_links_seeded'].replace('FROM conversations', 'FROM (SELECT -1 - conv_id AS conv_id, turn, role, text FROM conversations)')})"
 
 
 @query
