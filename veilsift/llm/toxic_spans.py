@@ -7,7 +7,7 @@ has a transition matrix that forgets the state before it, so documents do not to
 matrix products are taken column by column over rows of a fixed length, then carried from row to row.
 
 Training labels are of documents. Words are labelled by a greedy cover: the feature that occurs in most
-toxic documents not yet explained, and in hardly any other, marks its words as toxic, until no feature
+toxic documents not yet explained, and far more often than in others, marks its words as toxic, until no feature
 explains more documents. The field is then fitted to the labelled words, and two numbers of each
 document, its largest marginal's odds and its expected count of toxic words, to the documents' labels.
 It is fitted on a sample of MOST_TOXIC + MOST_CLEAN labelled documents at most, in hash order of their
@@ -15,7 +15,7 @@ ids, whole texts; everything else reads all documents. Without toxic labels all
 
 Null and empty texts have no spans and get the score of a text without toxic words. Long texts are
 scored whole, memory follows the text. Repeated rows get equal scores; an empty table gives an empty
-table. Other columns are carried only if named.
+table. A score of exactly 0.5 counts as toxic in the query. Other columns are carried only if named.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ from pyspark.sql import types as T
 from .textcols import LOWER, slices, spans, utf8, word_hashes
 
 MOST_TOXIC, MOST_CLEAN = 1_000, 2_000
+#: How many times more frequent in toxic documents than in others a feature is that marks words as toxic.
+PURITY = 8
 SLOTS = 1 << 20
 ROW = 256
 SLICE_BYTES = 2 << 20
@@ -135,7 +137,7 @@ def _cover(slots: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     pairs = [np.unique(slots[:, k].astype(np.int64) * len(toxic) + doc) for k in kinds]
     count = lambda part: sum(np.bincount(p[toxic[p % len(toxic)] == part] // len(toxic), minlength=SLOTS) for p in pairs)
     inside, outside = count(True), count(False)
-    pure = (inside >= 2) & (outside * toxic.sum() * 50 <= inside * max(1, (~toxic).sum()))
+    pure = (inside >= 2) & (outside * toxic.sum() * PURITY <= inside * max(1, (~toxic).sum()))
     pairs = np.concatenate([p[toxic[p % len(toxic)] & pure[p // len(toxic)]] for p in pairs])
     slot, where = pairs // len(toxic), pairs % len(toxic)
     found, least = [], max(2, int(toxic.sum()) // 500)
