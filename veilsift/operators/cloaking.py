@@ -15,7 +15,7 @@ from .html_checks import element_text
 
 BLOCK_TAGS = ["p", "div", "span", "li", "h1", "h2", "h3", "h4", "section"]
 # Parts of user agents that give bots away.
-BOTS = ["bot", "crawler", "spider", "gpt", "claude", "anthropic", "openai", "perplexity", "python-requests", "curl", "headless"]
+BOTS = ["python-requests", "python-httpx", "curl/", "wget/", "go-http-client", "bot", "spider", "crawler", "googlebot", "gptbot"]
 LEAST = 0.05
 
 

@@ -103,11 +103,6 @@ def removable(nodes: Column) -> Column:
     return F.array_distinct(F.concat(hidden, F.transform(noscript, lambda n: n["pos"]), F.transform(meta, lambda n: n["pos"])))
 
 
-def kept_attr(name: Column, value: Column) -> Column:
-    bad = instructs(F.coalesce(value, F.lit("")), "clean")
-    return ~name.isin(DROPPED_ATTRS) & ~(name.startswith("data-") & bad) & ~(name.isin(CHECKED_ATTRS) & bad)
-
-
 def rewrite(df: DataFrame, html: str, gone: str, out: str) -> DataFrame:
     """df with the column out: the HTML without the nodes numbered in gone, without comments and suspicious attributes. Blank input stays."""
     import re
