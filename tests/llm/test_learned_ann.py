@@ -52,3 +52,7 @@ def test_parts_are_balanced():
     r = np.random.default_rng(0)
     label = a.balanced_parts(a.neighbours(r.normal(size=(1000, 8)), 10), 8, r)
     assert np.bincount(label).tolist() == [125] * 8
+
+
+def test_blocks_grow_before_their_number_does():
+    assert [a.blocks_of(n) for n in (0, 1, 2_048, 2_049, 131_072, 1_000_000, 4_194_304, 100_000_000)] == [1, 1, 1, 2, 64, 64, 64, 1526]

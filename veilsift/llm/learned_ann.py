@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 
 SAMPLE = 4_096
 TARGET = 0.95
-#: Rows of a block, about.
-BLOCK_ROWS = 2_048
+#: Rows of a block, about: at least the first, more where a part would have more than BLOCKS blocks, at most the second. A query
+#: is copied once for each block that it visits.
+BLOCK_ROWS, MOST_BLOCK_ROWS, BLOCKS = 2_048, 65_536, 64
 PARTS = 16
 
 
@@ -154,6 +155,11 @@ def fit(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", **op
     return train(np.array(sample, np.float64) if sample else np.zeros((0, 0)), **options)
 
 
+def blocks_of(rows: int) -> int:
+    """Into how many blocks a part of so many rows is split."""
+    return max(1, -(-rows // min(MOST_BLOCK_ROWS, max(BLOCK_ROWS, rows // BLOCKS))))
+
+
 def search(vectors: DataFrame, queries: DataFrame, model: Model, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, key, score): each query's k nearest vectors other than its own id, among the parts it visits."""
     kind = vectors.schema[vector].dataType.simpleString()
@@ -171,7 +177,7 @@ def search(vectors: DataFrame, queries: DataFrame, model: Model, k: int = 10, ke
 
     filed = take(vectors).mapInArrow(file, f"id long, v {kind}, part int")
     sizes = {r["part"]: r["count"] for r in filed.groupBy("part").count().collect()}
-    blocks = [max(1, -(-sizes.get(p, 0) // BLOCK_ROWS)) for p in range(model.b2.size)]
+    blocks = [blocks_of(sizes.get(p, 0)) for p in range(model.b2.size)]
     counts = np.array([sizes.get(p, 0) for p in range(model.b2.size)])
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
