@@ -62,8 +62,8 @@ def decode_zero_width_message(text: Column) -> Column:
 def type_summary(found: Column, most: int = 4) -> Column:
     """Counts of the first kinds of invisible characters, in order of first sight."""
     name = F.create_map(*[x for c, n in ZERO_WIDTH.items() for x in (F.lit(chr(c)), F.lit(n))])
-    kinds = F.slice(F.array_distinct(found), 1, most)
-    return F.array_join(F.transform(kinds, lambda k: F.concat(F.size(F.filter(found, lambda x: x == k)).cast("string"), F.lit("× "), F.element_at(name, k))), ", ")
+    count = lambda all_of, k: F.concat(F.size(F.filter(all_of, lambda x: x == k)).cast("string"), F.lit("× "), F.element_at(name, k))
+    return let(found, lambda all_of: F.array_join(F.transform(F.slice(F.array_distinct(all_of), 1, most), lambda k: count(all_of, k)), ", "))
 
 
 def selector_chars(text: Column) -> Column:

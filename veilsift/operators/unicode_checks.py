@@ -27,16 +27,23 @@ def unicode_threats(text: Column) -> Column:
 
 
 def _threats(t: Column, c: Column) -> Column:
+    """The threats of a text with its counts; what reads the whole text is evaluated once, and only where it is told."""
+    found = F.struct(
+        F.when(c["zw_count"] > 0, type_summary(zero_width_chars(t))).alias("kinds"),
+        F.when(c["selectors"] > 0, selectors(t)).alias("selectors"),
+        F.array_join(mixed_scripts(t), ", ").alias("names"),
+    )
+    return let(found, lambda f: _told(t, c, f["kinds"], f["selectors"], f["names"]))
+
+
+def _told(t: Column, c: Column, kinds: Column, found: Column, names: Column) -> Column:
     density, n = F.format_string("%.1f", c["zw_density"]), c["zw_count"].cast("string")
     decoded = F.when(c["zw_count"] >= LEAST, decode_zero_width(t)).otherwise(F.lit(""))
-    kinds = type_summary(zero_width_chars(t))
     told = let(decoded, lambda d: F.when(d != "", F.concat(F.lit(" Decoded: '"), d, F.lit("'"))).otherwise(F.lit("")))
     invisible = threat("zero_width_chars", F.concat(n, F.lit(" invisible characters ("), kinds, F.lit("), "), density, F.lit(" for each 100 visible."), told), kinds, "stripped", F.concat(F.lit("chars 0–"), F.length(t).cast("string"), F.lit(" (density "), density, F.lit("%)")))
-    found = selectors(t)
     more = F.when(c["selectors"] > 5, F.concat(F.lit(" (+"), (c["selectors"] - 5).cast("string"), F.lit(" more)"))).otherwise(F.lit(""))
     listed = F.array_join(F.transform(F.slice(found, 1, 5), lambda s: F.concat(F.lit("pos "), s["pos"].cast("string"), F.lit(": "), s["name"])), ", ")
     selector = threat("variation_selector", F.concat(c["selectors"].cast("string"), F.lit(" variation selectors: "), listed, more), F.concat(F.lit("Unicode variation selectors ("), c["selectors"].cast("string"), F.lit(" total)")), "stripped", F.concat(F.lit("positions ["), F.array_join(F.transform(F.slice(found, 1, 3), lambda s: s["pos"].cast("string")), ", "), F.lit("]")))
-    names = F.array_join(mixed_scripts(t), ", ")
     samples = F.array_join(F.transform(confusable_samples(t), lambda s: F.concat(F.lit("pos "), s["pos"].cast("string"), F.lit(": '"), s["ch"], F.lit("' → '"), s["looks_like"], F.lit("'"))), "; ")
     alike = threat("homoglyph", F.concat(c["confusables"].cast("string"), F.lit(" look-alike characters ("), F.coalesce(F.nullif(names, F.lit("")), F.lit("unknown script")), F.lit("): "), samples), F.concat(F.lit("Mixed-script homoglyphs ("), F.coalesce(F.nullif(names, F.lit("")), F.lit("non-Latin")), F.lit(")")), "normalized", F.concat(c["confusables"].cast("string"), F.lit(" positions across text")))
     letters = F.array_join(F.slice(F.regexp_extract_all(t, F.lit(r"([\p{L}&&[^\x00-\x7F]])"), 1), 1, 6), ", ")
