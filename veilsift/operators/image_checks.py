@@ -128,18 +128,23 @@ def channels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def deep_verdict(df: DataFrame, image: str = "raw", out: str = "deep_result", model=None) -> DataFrame:
-    """verdict, confidence, method, detail. Without a model, a function of a list of bytes giving probabilities, all is inconclusive."""
+    """verdict, confidence, method, detail. Without a model, a function of a list of bytes giving probabilities, all is
+    inconclusive; with one, it sees the images that are not null, and the others get null."""
     schema = T.StructType([T.StructField("verdict", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("method", T.StringType()), T.StructField("detail", T.StringType())])
     if model is None:
         return df.withColumn(out, F.struct(F.lit("inconclusive").alias("verdict"), F.lit(0.0).alias("confidence"), F.lit("unavailable").alias("method"), F.lit("no deep model").alias("detail")))
+
     @F.pandas_udf(schema)
     def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for images in batches:
-            p = pd.Series(model([bytes(x) if x is not None else b"" for x in images]), dtype=float)
+            there = images.dropna()
+            p = pd.Series(model([bytes(x) for x in there]) if len(there) else [], index=there.index, dtype=float)
             stego = p > 0.5
-            yield pd.DataFrame({"verdict": stego.map({True: "stego", False: "clean"}), "confidence": p.where(stego, 1 - p), "method": "model", "detail": "probability " + p.round(4).astype(str)})
+            told = pd.DataFrame({"verdict": stego.map({True: "stego", False: "clean"}).astype(object), "confidence": p.where(stego, 1 - p), "method": "model", "detail": "probability " + p.round(4).astype(str)})
+            whole = told.reindex(images.index)
+            yield whole.astype({c: object for c in ("verdict", "method", "detail")}).where(whole.notna(), None)
 
-    return df.withColumn(out, judged(image))
+    return df.withColumn(out, F.when(F.col(image).isNotNull(), judged(image)))
 
 
 def tool_verdict(output: Column) -> Column:

@@ -6,7 +6,7 @@ nothing is shuffled. Image bytes are read only where a row holds any.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,6 +26,8 @@ TEXT_TYPES = ["text/plain", "text/markdown", "text/csv"]
 IMAGE_TYPES = ["image/jpeg", "image/png", "image/gif", "image/webp", "image/bmp", "image/tiff"]
 TAGS = "<html|<body|<div|<p>|<span|<!doctype"
 DROPPED_ATTRS = ["aria-description", "aria-details", "data-prompt", "data-instruction", "data-system", "data-ai", "data-llm"]
+INPUTS = ["content", "raw", "content_type", "filename", "deep", "decoded"]
+RESULTS = ["route", "type", "text", "run_image", "threats", "sanitized_content", "tier_timings", "recommended_action", "scores", "safe", "confidence", "threat_count", "max_severity", "has_critical"]
 CHECKED_ATTRS = ["aria-label", "aria-description", "title", "alt", "placeholder"]
 
 
@@ -134,24 +136,44 @@ def sanitize_html(docs: DataFrame, html: str = "html", out: str = "sanitized") -
     return rewrite(shredded, html, "_gone", out).drop("_gone")
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """docs (content, raw, content_type, filename, deep and any others) with threats, sanitized_content, verdict columns and
-    tier_timings (null values: a row has no wall time of its own). The pixels of images are read from a column decoded if
-    there is one (image_checks.with_pixels joins it to files), else from 8-bit PNG bytes only."""
-    from .image_checks import triage
+def scan(docs: DataFrame, model: Callable[[list[bytes]], Sequence[float]] | None = None) -> DataFrame:
+    """docs (content, raw, content_type, filename, deep and any others) with route, type, text, run_image, threats,
+    sanitized_content, recommended_action, scores, verdict columns and tier_timings (null values: a row has no wall time of
+    its own).
 
-    df = routed(docs)
+    All columns of docs stay as they are; a result whose name one of them has is called scan_ and its name. The pixels of
+    images are read from a column decoded if there is one (image_checks.with_pixels joins it to files), else from 8-bit PNG
+    bytes only. model gives, for a list of images, the probabilities that they hide data; it sees the images that the pixel
+    tests suspect and those with deep set. Without it the third tier finds nothing.
+    """
+    from .image_checks import deep_threats, deep_verdict, triage
+
+    named = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    given = [c for c in docs.columns if c.lower() in INPUTS]
+    others = [c for c in docs.columns if c.lower() not in INPUTS]
+    row = [F.struct(*map(named, others)).alias("_row")] if others else []
+    df = routed(docs.select(*map(named, given), *row))
     df = shred(df.withColumn("_html", F.when(F.col("route") == "html", F.col("text"))), "_html", "_nodes")
     page = F.col("route") == "html"
     df = df.withColumn("_text", F.when(page, html_threats(F.col("_nodes"))).when(F.col("route") == "text", unicode_threats(F.col("text"))).otherwise(no_threats()))
     df = df.withColumn("_gone", F.when(page, removable(F.col("_nodes")))).drop("_nodes")
-    df = triage(df.withColumn("_image", F.when(F.col("run_image"), F.col("raw"))), "_image", "filename", "_triage", "decoded" if "decoded" in docs.columns else None)
-    df = df.withColumn("threats", F.concat("_text", F.coalesce("_triage.threats", no_threats())))
+    df = triage(df.withColumn("_image", F.when(F.col("run_image"), F.col("raw"))), "_image", "filename", "_triage", "decoded" if "decoded" in map(str.lower, given) else None)
+    gate = F.col("run_image") & (F.octet_length("_image") > 0) & (F.coalesce("_triage.is_suspicious", F.lit(False)) | F.coalesce(F.col("deep"), F.lit(False)))
+    df = df.withColumn("_gate", F.coalesce(gate, F.lit(False)))
+    if model is None:
+        df = df.withColumn("_deep", no_threats())
+    else:
+        judged = deep_verdict(df.withColumn("_suspect", F.when(F.col("_gate"), F.col("_image"))), "_suspect", "_judged", model)
+        df = judged.withColumn("_deep", deep_threats(F.col("_judged"))).drop("_suspect", "_judged")
+    df = df.withColumn("threats", F.concat("_text", F.coalesce("_triage.threats", no_threats()), "_deep"))
     df = rewrite(df, "_html", "_gone", "_clean")
     df = df.withColumn("sanitized_content", F.when(page, F.col("_clean")).when(F.col("route") == "text", sanitize_text(F.col("text"))))
-    tiers = F.map_filter(F.create_map(F.lit("t1"), F.lit(None).cast("int"), F.lit("t2"), F.lit(None).cast("int"), F.lit("t3"), F.lit(None).cast("int")), lambda k, v: (k == "t1") | ((k == "t2") & F.col("run_image")) | ((k == "t3") & F.col("run_image") & (F.coalesce("_triage.is_suspicious", F.lit(False)) | F.coalesce(F.col("deep"), F.lit(False)))))
-    df = df.withColumns({"tier_timings": tiers, "recommended_action": F.col("_triage.recommended_action"), "scores": F.col("_triage.scores")})
-    return verdict(df.drop("_text", "_gone", "_html", "_clean", "_image", "_triage"))
+    nothing = F.lit(None).cast("int")
+    tiers = F.map_filter(F.create_map(F.lit("t1"), nothing, F.lit("t2"), nothing, F.lit("t3"), nothing), lambda k, v: (k == "t1") | ((k == "t2") & F.col("run_image")) | ((k == "t3") & F.col("_gate")))
+    df = verdict(df.withColumns({"tier_timings": tiers, "recommended_action": F.col("_triage.recommended_action"), "scores": F.col("_triage.scores")}))
+    taken = {c.lower() for c in docs.columns}
+    kept = [named(c) if c in given else F.col("_row")[c].alias(c) for c in docs.columns]
+    return df.select(*kept, *[F.col(r).alias(f"scan_{r}" if r in taken else r) for r in RESULTS])
 
 
 def scan_pages(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
