@@ -32,23 +32,25 @@ def confusion(samples: DataFrame, by: str = "suite") -> DataFrame:
 
 
 def nearest_rank(rows: DataFrame, by: list[str], value: str, percents: dict[str, int]) -> DataFrame:
-    """Element max(1, floor(n p / 100)) of each group's sorted values.
+    """Element max(1, floor(n p / 100)) of each group's sorted values, and median_ms, the mean of the two in the middle.
 
     Equal values are counted together first, so the running counts that place an element are over
-    distinct values and not over rows.
+    distinct values and not over rows, and no buffer holds a group's values.
     """
     counted = rows.groupBy(*by, value).agg(F.count("*").alias("n"))
     w = Window.partitionBy(*by)
     placed = counted.withColumn("upto", F.sum("n").over(w.orderBy(value))).withColumn("all", F.sum("n").over(w))
     at = lambda p: F.greatest(F.lit(1), F.floor(F.col("all") * p / 100))
-    return placed.groupBy(*by).agg(*[F.min(F.when(F.col("upto") >= at(p), F.col(value))).alias(name) for name, p in percents.items()])
+    first = lambda k: F.min(F.when(F.col("upto") >= k, F.col(value)))
+    middle = (first(F.ceil(F.col("all") / 2)) + first(F.floor(F.col("all") / 2) + 1)) / 2
+    return placed.groupBy(*by).agg(*[first(at(p)).alias(name) for name, p in percents.items()], middle.alias("median_ms"))
 
 
 def latency(rows: DataFrame, by: list[str] | None = None, value: str = "latency_ms") -> DataFrame:
     """n_samples, mean, median, min, max, p95 and p99 of each group, with budget and pass for a detector column."""
     by = by or ["detector", "suite"]
-    plain = rows.groupBy(*by).agg(F.count("*").alias("n_samples"), F.avg(value).alias("mean_ms"), F.percentile(value, F.lit(0.5)).alias("median_ms"), F.min(value).alias("min_ms"), F.max(value).alias("max_ms"))
-    out = plain.join(nearest_rank(rows, by, value, {"p95_ms": 95, "p99_ms": 99}), by)
+    plain = rows.groupBy(*by).agg(F.count("*").alias("n_samples"), F.avg(value).alias("mean_ms"), F.min(value).alias("min_ms"), F.max(value).alias("max_ms"))
+    out = plain.join(nearest_rank(rows.filter(F.col(value).isNotNull()), by, value, {"p95_ms": 95, "p99_ms": 99}), by, "left")
     return passed(out) if "detector" in by else out
 
 
