@@ -21,9 +21,13 @@ def inside(n: Column, e: Column) -> Column:
 
 
 def element_text(nodes: Column, e: Column) -> Column:
-    """Stripped pieces of text below an element, joined by a space; a style or script has its own raw text."""
+    """Stripped pieces of text below an element, joined by a space; a style or script has its own raw text.
+
+    A node's pos is its place in nodes, all nodes of the document, so only those below the element are looked at.
+    """
     own = F.when(e["tag"].isin("style", "script", "template"), "raw").otherwise("text")
-    pieces = F.transform(F.filter(nodes, lambda n: (n["kind"] == own) & inside(n, e)), lambda n: strip(n["text"]))
+    below = F.slice(nodes, e["pos"] + 2, e["end"] - e["pos"])
+    pieces = F.transform(F.filter(below, lambda n: n["kind"] == own), lambda n: strip(n["text"]))
     return F.array_join(F.filter(pieces, lambda p: p != ""), " ")
 
 
