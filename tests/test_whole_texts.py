@@ -7,14 +7,15 @@ import pytest
 from veilsift.plans.queries import QUERIES
 
 
-def test_cloaking_compares_whole_texts(spark, tmp_path):
+@pytest.mark.parametrize(("name", "width"), [("cloaked_addresses", 200), ("cloaked_whole_texts", 50)])
+def test_cloaking_compares_whole_texts(spark, tmp_path, name, width):
     texts = ["", "short", "ab cd " * 90, "x" * 49 + "\n" + "word " * 400, "".join(f"{chr(97 + i % 26) * (i % 7 + 1)} " for i in range(900)), "tail " * 41 + "the last of all blocks here"]
     spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.url: (r.divergence, r.n_exclusive, r.cloaked) for r in QUERIES["cloaked_whole_texts"](spark, str(tmp_path)).collect()}
+    got = {r.url: (r.divergence, r.n_exclusive, r.cloaked) for r in QUERIES[name](spark, str(tmp_path)).collect()}
     want = {}
     for i, t in enumerate(texts, 1):
         plain = re.sub("[^A-Za-z ]", "x", t)
-        parts = [plain[k : k + 50].strip() for k in range(0, len(plain), 50)]
+        parts = [plain[k : k + width].strip() for k in range(0, len(plain), width)]
         other = (["only agents read this text"] if i % 5 == 0 else parts[:1]) + parts[1:] + ["agents must now obey this paragraph"] * (i % 3 == 0)
         human, agent = ({b for b in x if len(b) > 20} for x in (parts, other))
         d = 1 - len(human & agent) / len(human | agent) if human | agent else 0.0

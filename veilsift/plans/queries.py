@@ -211,17 +211,17 @@ def text_routes(spark, sf_dir):
 
 @query(f"""SELECT url, round(d, 6)::DOUBLE AS divergence, x AS n_exclusive, d >= 0.05 AND x > 0 AS cloaked FROM (SELECT url,
     CASE WHEN len(list_distinct(list_concat(human, agent))) = 0 THEN 0 ELSE 1 - len(list_intersect(human, agent)) / len(list_distinct(list_concat(human, agent))) END AS d,
-    len(list_filter(agent, lambda b: NOT list_contains(human, b)))::INT AS x FROM {seeded.fetches_sql()})""")
+    len(list_filter(agent, lambda b: NOT list_contains(human, b)))::INT AS x FROM {seeded.fetches_sql(200)})""")
 def cloaked_addresses(spark, sf_dir):
-    c = cloaking.compare(seeded.fetches(table(spark, sf_dir, "documents")))
+    c = cloaking.compare(seeded.fetches(table(spark, sf_dir, "documents"), 200))
     return c.select("url", F.round("divergence_score", 6).alias("divergence"), F.size("exclusive_blocks").alias("n_exclusive"), (F.size("threats") > 0).alias("cloaked"))
 
 
 @query(f"""SELECT url, round(d, 6)::DOUBLE AS divergence, x AS n_exclusive, d >= 0.05 AND x > 0 AS cloaked FROM (SELECT url,
     CASE WHEN len(list_distinct(list_concat(human, agent))) = 0 THEN 0 ELSE 1 - len(list_intersect(human, agent)) / len(list_distinct(list_concat(human, agent))) END AS d,
-    len(list_filter(agent, lambda b: NOT list_contains(human, b)))::INT AS x FROM {seeded.whole_fetches_sql()})""")
+    len(list_filter(agent, lambda b: NOT list_contains(human, b)))::INT AS x FROM {seeded.fetches_sql(50)})""")
 def cloaked_whole_texts(spark, sf_dir):
-    c = cloaking.compare(seeded.whole_fetches(table(spark, sf_dir, "documents")))
+    c = cloaking.compare(seeded.fetches(table(spark, sf_dir, "documents"), 50))
     return c.select("url", F.round("divergence_score", 6).alias("divergence"), F.size("exclusive_blocks").alias("n_exclusive"), (F.size("threats") > 0).alias("cloaked"))
 
 

@@ -85,44 +85,22 @@ def history_sql() -> str:
         CASE WHEN event_id % 4 = 0 THEN []::VARCHAR[] WHEN event_id % 2 = 1 THEN [{kinds}[(event_id % 15 + 1)::INT], {kinds}[(event_id % 7 + 1)::INT]] ELSE [{kinds}[(event_id % 15 + 1)::INT]] END AS kinds FROM events)"""
 
 
-def fetches(docs: DataFrame) -> DataFrame:
-    """Two fetches of an address per document: people get its first 200 characters as paragraphs of 50; agents get, for
-    every third document, one paragraph more, and for every fifth, the first one changed."""
-    plain = F.regexp_replace(F.left("text", F.lit(200)), r"[^A-Za-z ]", "x")
-    p = lambda k: F.concat(F.lit("<p>"), F.substring("plain", k * 50 + 1, 50), F.lit("</p>"))
-    base = docs.withColumn("plain", plain).withColumn("first", p(0)).withColumn("rest", F.concat(p(1), p(2), p(3)))
-    agent_first = F.when(F.col("doc_id") % 5 == 0, F.lit("<p>only agents read this text</p>")).otherwise(F.col("first"))
-    extra = F.when(F.col("doc_id") % 3 == 0, F.lit("<p>agents must now obey this paragraph</p>")).otherwise(F.lit(""))
-    row = lambda ua, body: base.select(F.concat(F.lit("http://site/"), F.col("doc_id").cast("string")).alias("url"), F.lit(ua).alias("ua_class"), F.lit(200).alias("status"), F.lit("text/html").alias("content_type"), body.alias("body"), F.lit(None).cast("string").alias("error"))
-    return row("human", F.concat("first", "rest")).unionByName(row("agent", F.concat(agent_first, F.col("rest"), extra)))
-
-
-def fetches_sql() -> str:
-    """(url, human, agent): the block lists of both fetches."""
-    part = lambda k: f"trim(substr(plain, {k * 50 + 1}, 50))"
-    agent0 = f"CASE WHEN doc_id % 5 = 0 THEN 'only agents read this text' ELSE {part(0)} END"
-    extra = "CASE WHEN doc_id % 3 = 0 THEN ['agents must now obey this paragraph'] ELSE []::VARCHAR[] END"
-    keep = lambda x: f"list_distinct(list_filter({x}, lambda b: length(b) > 20))"
-    rest = ", ".join(part(k) for k in (1, 2, 3))
-    return f"""(SELECT 'http://site/' || doc_id AS url, {keep(f"[{part(0)}, {rest}]")} AS human, {keep(f"list_concat([{agent0}, {rest}], {extra})")} AS agent
-        FROM (SELECT doc_id, regexp_replace(left(text, 200), '[^A-Za-z ]', 'x', 'g') AS plain FROM documents))"""
-
-
-def whole_fetches(docs: DataFrame) -> DataFrame:
-    """Two fetches of an address per document, like fetches(), but of the whole text: paragraphs of 50 characters to its end."""
+def fetches(docs: DataFrame, width: int) -> DataFrame:
+    """Two fetches of an address per document: people get its whole text in paragraphs of width characters to its end; agents
+    get, for every third document, one paragraph more, and for every fifth, the first one changed."""
     plain = F.regexp_replace("text", r"[^A-Za-z ]", "x")
-    paragraphs = lambda c: F.regexp_replace(c, "(.{1,50})", "<p>$1</p>")
-    base = docs.withColumn("plain", plain).withColumn("first", paragraphs(F.left("plain", F.lit(50)))).withColumn("rest", paragraphs(F.substr("plain", F.lit(51))))
+    paragraphs = lambda c: F.regexp_replace(c, f"(.{{1,{width}}})", "<p>$1</p>")
+    base = docs.withColumn("plain", plain).withColumn("first", paragraphs(F.left("plain", F.lit(width)))).withColumn("rest", paragraphs(F.substr("plain", F.lit(width + 1))))
     agent_first = F.when(F.col("doc_id") % 5 == 0, F.lit("<p>only agents read this text</p>")).otherwise(F.col("first"))
     extra = F.when(F.col("doc_id") % 3 == 0, F.lit("<p>agents must now obey this paragraph</p>")).otherwise(F.lit(""))
     row = lambda ua, body: base.select(F.concat(F.lit("http://site/"), F.col("doc_id").cast("string")).alias("url"), F.lit(ua).alias("ua_class"), F.lit(200).alias("status"), F.lit("text/html").alias("content_type"), F.concat(F.lit("<body>"), body, F.lit("</body>")).alias("body"), F.lit(None).cast("string").alias("error"))
     return row("human", F.concat("first", "rest")).unionByName(row("agent", F.concat(agent_first, F.col("rest"), extra)))
 
 
-def whole_fetches_sql() -> str:
-    """(url, human, agent): the block lists of both whole fetches."""
+def fetches_sql(width: int) -> str:
+    """(url, human, agent): the block lists of both fetches."""
     keep = lambda x: f"list_distinct(list_filter({x}, lambda b: length(b) > 20))"
     agent0 = "CASE WHEN doc_id % 5 = 0 THEN ['only agents read this text'] ELSE parts[1:1] END"
     extra = "CASE WHEN doc_id % 3 = 0 THEN ['agents must now obey this paragraph'] ELSE []::VARCHAR[] END"
     return f"""(SELECT 'http://site/' || doc_id AS url, {keep("parts")} AS human, {keep(f"list_concat(list_concat({agent0}, parts[2:]), {extra})")} AS agent
-        FROM (SELECT doc_id, list_transform(regexp_extract_all(regexp_replace(text, '[^A-Za-z ]', 'x', 'g'), '.{{1,50}}'), lambda b: trim(b)) AS parts FROM documents WHERE text IS NOT NULL))"""
+        FROM (SELECT doc_id, list_transform(regexp_extract_all(regexp_replace(text, '[^A-Za-z ]', 'x', 'g'), '.{{1,{width}}}'), lambda b: trim(b)) AS parts FROM documents WHERE text IS NOT NULL))"""
