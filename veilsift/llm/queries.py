@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hard_negatives, learned_ann, parity_join, piece_codec, quality_rules, secret_scan, source_mix, substring_dedup, token_table, tokenizer_files, tool_links, toxic_spans
+from . import hard_negatives, learned_ann, parity_join, piece_codec, prefix_trie, quality_rules, secret_scan, source_mix, substring_dedup, token_table, tokenizer_files, tool_links, toxic_spans
 from .staging import checkpoint
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -219,3 +219,29 @@ ORACLE["op13_hard_negatives"] = """
     n AS (SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
           FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
     SELECT * FROM n WHERE rank <= 5"""
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation starts with up to five turns of the first one of its hundred."""
+    borrowed = F.crc32(F.col("conv").cast("string").cast("binary")) % 6
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"), borrowed, F.col("conv") - F.col("conv") % 100)
+
+
+ORACLE["op12_prefix_trie"] = """
+    WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p FROM conversations WHERE conv_id IS NOT NULL),
+    g AS (SELECT c, count(*) AS n, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(c::VARCHAR, ''), lambda d: ascii(d)::BIGINT)),
+                 lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda y, k: xor(y >> 1, 3988292384 * (y & 1))))) % 6 AS h FROM t GROUP BY c),
+    b AS (SELECT g.c, t.p, t.r, t.x FROM g JOIN t ON t.c = g.c - g.c % 100 AND t.p <= g.h UNION ALL SELECT g.c, t.p, t.r, t.x FROM g JOIN t ON t.c = g.c AND t.p > g.h),
+    o AS (SELECT c, r, x, row_number() OVER (PARTITION BY c ORDER BY p) AS d FROM b),
+    s AS (SELECT c, d, length(x) AS chars, list(sha256(r) || sha256(x)) OVER (PARTITION BY c ORDER BY d) AS k FROM o
+          UNION ALL SELECT c, 0 AS d, 0 AS chars, [] AS k FROM g),
+    e AS (SELECT c, max(d) AS last FROM s GROUP BY c),
+    f AS (SELECT s.c, s.d, s.chars, sha256(array_to_string(k, ',')) AS k, sha256(array_to_string(k[:-2], ',')) AS up, d = last AS ends FROM s JOIN e ON e.c = s.c),
+    n AS (SELECT d, k, any_value(up) AS up, min(c) AS c, count(*) AS n_convs, any_value(chars) AS chars, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256 FROM f GROUP BY d, k),
+    h AS (SELECT d - 1 AS d, up AS k, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+    w AS (SELECT n.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * chars AS weight FROM n LEFT JOIN h ON h.d = n.d AND h.k = n.k),
+    u AS (SELECT f.d, f.k, sum(w.weight) AS saved_tokens, count(*) FILTER (w.n_children = 0) AS n_leaves
+          FROM w JOIN f AS v ON v.c = w.c AND v.d = w.d JOIN f ON f.c = v.c AND f.d <= v.d GROUP BY f.d, f.k)
+    SELECT w.c AS conv_id, w.d AS depth, q.c AS parent_conv_id, w.n_convs, w.n_children, u.n_leaves, u.saved_tokens::BIGINT AS saved_tokens, w.ends_sha256
+    FROM w JOIN u ON u.d = w.d AND u.k = w.k LEFT JOIN w AS q ON w.d > 0 AND q.d = w.d - 1 AND q.k = w.up"""
