@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hard_negatives, learned_ann, parity_join, piece_codec, prefix_trie, quality_rules, secret_scan, source_mix, substring_dedup, token_table, tokenizer_files, tool_links, toxic_spans
+from . import hard_negatives, learned_ann, parity_join, piece_codec, prefix_trie, quality_rules, radix_dedup, secret_scan, source_mix, substring_dedup, token_table, tokenizer_files, tool_links, toxic_spans
 from .staging import checkpoint
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -245,3 +245,9 @@ ORACLE["op12_prefix_trie"] = """
           FROM w JOIN f AS v ON v.c = w.c AND v.d = w.d JOIN f ON f.c = v.c AND f.d <= v.d GROUP BY f.d, f.k)
     SELECT w.c AS conv_id, w.d AS depth, q.c AS parent_conv_id, w.n_convs, w.n_children, u.n_leaves, u.saved_tokens::BIGINT AS saved_tokens, w.ends_sha256
     FROM w JOIN u ON u.d = w.d AND u.k = w.k LEFT JOIN w AS q ON w.d > 0 AND q.d = w.d - 1 AND q.k = w.up"""
+
+
+@query
+def op11_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = radix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
