@@ -185,6 +185,13 @@ def _limit(num: int, den: int, up: bool) -> Column:
     return F.expr(f"{num} * (score div {den}) + {rest} div {den} + CASE WHEN {rest} % {den} {'>' if up else '<'} 0 THEN {1 if up else -1} ELSE 0 END")
 
 
+def _ranged(rows: DataFrame, n: int, name: str) -> DataFrame:
+    """rows, written, with a number below n that follows falling norms, whatever number of partitions Spark makes of them."""
+    dealt = stage(rows.repartitionByRange(n, F.col("norm").desc(), F.col("row")).withColumn("part", F.spark_partition_id()))
+    parts = (dealt.agg(F.max("part")).first()[0] or 0) + 1
+    return dealt.withColumn(name, F.expr(f"cast(cast(part as long) * {min(n, parts)} div {parts} as int)")).drop("part")
+
+
 def mine(rows: DataFrame, anchor: Column, key: str = "vec_id", vector: str = "embedding", label: str = "label", positives: int = 5, negatives: int = 5, low: int = 80, high: int = 100, den: int = 100, scale: int = 256) -> DataFrame:
     """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score) for the rows where anchor holds.
 
@@ -197,10 +204,8 @@ def mine(rows: DataFrame, anchor: Column, key: str = "vec_id", vector: str = "em
     n, n_anchors, size = usable.agg(F.count("*"), F.count(F.when(F.col("anchor"), 1)), F.max("size")).first()
     bytes_each = 8 * max(size or 0, 1) + 64
     slabs = max(spark.sparkContext.defaultParallelism, -(-n * bytes_each // SLAB_BYTES))
-    order = (F.col("norm").desc(), F.col("row"))
-    candidates = stage(usable.drop("anchor").repartitionByRange(slabs, *order).withColumn("slab", F.spark_partition_id()))
-    slabs = (candidates.agg(F.max("slab")).first()[0] or 0) + 1
-    anchors = stage(usable.filter("anchor").drop("anchor").repartitionByRange(max(1, -(-n_anchors * bytes_each // BLOCK_BYTES)), *order).withColumn("block", F.spark_partition_id()))
+    candidates = _ranged(usable.drop("anchor"), slabs, "slab")
+    anchors = _ranged(usable.filter("anchor").drop("anchor"), max(1, -(-n_anchors * bytes_each // BLOCK_BYTES)), "block")
     open_window = anchors.select("row", F.lit(0).cast("long").alias("w"), F.lit(LEAST).cast("long").alias("low"), F.lit(MOST).cast("long").alias("high"))
     near = search(anchors, candidates, open_window, True, positives, slabs)
     windows = near.select(F.col("anchor_row").alias("row"), F.col("rank").cast("long").alias("w"), _limit(low, den, True).alias("low"), _limit(high, den, False).alias("high")).filter("low <= high")
