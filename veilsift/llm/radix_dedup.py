@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +32,7 @@ from .textcols import _BYTE_CODES, _power, mix, utf8
 
 WINDOW, GRAM = 400, 64
 #: Bytes read at once, windows in a run at most, bytes sorted at once and bytes in a shard, about.
-BLOCK, LONGEST, SORT_BYTES, SHARD_BYTES = 1 << 19, 2048, 4 << 20, 128 << 20
+BLOCK, LONGEST, SORT_BYTES, SHARD_BYTES = 1 << 19, 2048, 1 << 20, 128 << 20
 #: Different runs of an anchor from which on the next digit is looked at, and the number of anchors looked at.
 HOT, DIGITS = 500, 4
 WORD = 8
@@ -252,19 +253,23 @@ def _in_shards(docs: DataFrame, chosen: DataFrame, window: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([items.field("key"), items.field("bytes"), _binaries(raw, start.tolist(), (start + items.field("n").to_numpy() + window - 1).tolist())], names=["key", "bytes", "run"])
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, last = [], 0, None
         for batch in batches:
             if not batch.num_rows:
                 continue
             key = batch.column(0).to_numpy()
-            if size >= SORT_BYTES:
-                # Keys are sorted together whole: the last one goes on in this batch.
-                begins = int(np.searchsorted(key, held[-1].column(0)[-1].as_py(), "right"))
-                if begins < batch.num_rows:
-                    yield sorted_out([*held, batch.slice(0, begins)])
-                    batch, held, size = batch.slice(begins), [], 0
-            held.append(batch)
-            size += batch.nbytes
+            end = np.cumsum(pc.binary_length(batch.column(2)).to_numpy())
+            # A key is sorted as a whole: cuts lie where a new one begins.
+            fresh = np.flatnonzero(np.append(key[0] != last, key[1:] != key[:-1]))
+            begin, before = 0, 0
+            for p in fresh.tolist():
+                here = int(end[p - 1]) if p else 0
+                if size + here - before >= SORT_BYTES:
+                    yield sorted_out([*held, batch.slice(begin, p - begin)])
+                    held, size, begin, before = [], 0, p, here
+            held.append(batch.slice(begin))
+            size += int(end[-1]) - before
+            last = key[-1]
         if held:
             yield sorted_out(held)
 
