@@ -6,7 +6,10 @@ uses, has no such flag, so sql() gives the same expression with ASCII white spac
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 # Family, regular expression, detectors that use it.
 PHRASES = [
@@ -24,9 +27,9 @@ PHRASES = [
     ("important", r"important\s*:", "css image clean"),
     ("important", r"\bimportant\b.*?:", "html"),
     ("instruction", r"instruction\s*:", "css html image"),
-    ("disregard", r"disregard\s+(previous|above|all|prior)", "css html"),
+    ("disregard", r"disregard\s+(all|previous|above|prior)", "css html"),
     ("disregard", r"disregard", "image clean"),
-    ("forget", r"forget\s+(previous|above|all|prior)", "css html"),
+    ("forget", r"forget\s+(previous|above|prior|all)", "css html"),
     ("forget", r"forget\s+previous", "image clean"),
     ("new instructions", r"new\s+instructions?\s*:", "css"),
     ("new instructions", r"new\s+instructions?", "html image"),
@@ -49,6 +52,10 @@ PHRASES = [
 ]
 
 
+#: Letters that match an ASCII letter where case is ignored, and that letter; lower() alone doesn't make one of them.
+ALIKE = ("İıſK", "iisk")
+
+
 def _expression(detector: str) -> str:
     return "|".join(expression for _, expression, detectors in PHRASES if detector in detectors.split())
 
@@ -62,5 +69,54 @@ def sql(detector: str) -> str:
     return ("(?i)" if detector == "image" else "(?is)") + _expression(detector).replace("'", "''")
 
 
+def _literals(expression: str) -> list[str]:
+    """The words or marks with which an expression begins; every match holds one of them."""
+    plain = re.sub(r"\\b", "", expression)
+    if plain.startswith("("):
+        return plain[1 : plain.index(")")].split("|")
+    return [re.match(r"(?:\\\W|[a-z<])+", plain)[0].replace("\\", "")]
+
+
+def gates(detector: str) -> list[tuple[list[str], str, str]]:
+    """(literals, expression, where) of a detector: an expression is looked for only in texts that hold one of its literals.
+
+    where is "text", or "before the last colon" for expressions that end in anything up to a colon: they match if the
+    rest matches before the last one, which takes one look at the text instead of one for each time the rest occurs.
+    """
+    kept: dict[tuple[str, ...], list[str]] = {}
+    out = []
+    for _, expression, detectors in PHRASES:
+        if detector in detectors.split():
+            if expression.endswith(".*?:"):
+                out.append((_literals(expression), expression.removesuffix(".*?:"), "before the last colon"))
+            else:
+                kept.setdefault(tuple(_literals(expression)), []).append(expression)
+    return [(list(k), "|".join(v), "text") for k, v in kept.items()] + out
+
+
 def instructs(text: Column, detector: str) -> Column:
-    return text.rlike(pattern(detector))
+    """Whether a text holds one of a detector's phrases; null for null. Takes time in proportion to the text."""
+    flags = "(?iU)" if detector == "image" else "(?isU)"
+
+    def found(t: Column, low: Column) -> Column:
+        out = F.lit(False)
+        for literals, expression, where in gates(detector):
+            held = F.lit(False)
+            for x in literals:
+                held = held | low.contains(x)
+            place = t if where == "text" else F.substring(t, F.lit(1), F.length(t) - F.length(F.substring_index(t, ":", -1)))
+            out = out | F.when(held, place.rlike(flags + expression)).otherwise(False)
+        return out
+
+    pair = F.struct(text.alias("t"), F.lower(F.translate(text, *ALIKE)).alias("low"))
+    return F.when(text.isNotNull(), F.element_at(F.transform(F.array(pair), lambda p: found(p["t"], p["low"])), 1))
+
+
+def instructs_sql(detector: str, text: str) -> str:
+    """instructs() over a column named text, in Spark SQL."""
+    flags, low = "(?iU)" if detector == "image" else "(?isU)", f"lower(translate({text}, '{ALIKE[0]}', '{ALIKE[1]}'))"
+    tests = []
+    for literals, expression, where in gates(detector):
+        place = text if where == "text" else f"substring({text}, 1, length({text}) - length(substring_index({text}, ':', -1)))"
+        tests.append("((" + " OR ".join(f"contains({low}, r'{x}')" for x in literals) + f") AND {place} RLIKE r'{flags}{expression}')")
+    return "(" + " OR ".join(tests) + ")"

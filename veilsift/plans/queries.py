@@ -14,6 +14,7 @@ from ..operators import cloaking, evaluation, gateway, history, html_checks, ren
 from ..patterns import instructs, sql
 from ..sources import files
 from ..sources.html import shred
+from ..sql import register
 from . import seeded
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,6 +121,36 @@ def element_counts(spark, sf_dir):
     return seeded_pages(spark, sf_dir).select("page_id", F.size(F.filter("nodes", lambda n: n["tag"].isin(names) & (n["kind"] == "element"))).cast("long").alias("n_elements"))
 
 
+# --- in SQL -----------------------------------------------------------------------------------
+
+
+@query(f"SELECT page_id, tag, count(*)::BIGINT AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<(h1|p|li|a|b|td|article|nav|footer|title|div|noscript|img|meta|style)[ >]', 1)) AS tag FROM {seeded.pages_sql()}) GROUP BY ALL")
+def sql_page_elements(spark, sf_dir):
+    register(spark)
+    return spark.sql(
+        """SELECT p.page_id, n.tag, count(*) AS n FROM {pages} p, LATERAL shred_html(p.html) n
+           WHERE n.kind = 'element' AND n.tag IN ('h1', 'p', 'li', 'a', 'b', 'td', 'article', 'nav', 'footer', 'title', 'div', 'noscript', 'img', 'meta', 'style') GROUP BY p.page_id, n.tag""",
+        pages=seeded.pages(table(spark, sf_dir, "pages")),
+    )
+
+
+_FOUND = "len(list_filter(regexp_extract_all(html, '{form}', 1), lambda x: regexp_matches(x, '{pattern}')))::BIGINT"
+
+
+@query(f"""SELECT page_id, len(regexp_extract_all(html, '(?s)<!--(.*?)-->', 1))::BIGINT AS n_comments, {_FOUND.format(form="(?s)<!--(.*?)-->", pattern=sql("html"))} AS flagged_comments,
+    {_FOUND.format(form=' alt="([^"]*)"', pattern=sql("html"))} AS flagged_alts, {_FOUND.format(form=' data-[a-z-]+="([^"]*)"', pattern=sql("html"))} AS flagged_data,
+    {_FOUND.format(form='<meta [^>]*content="([^"]*)"', pattern=sql("clean"))} AS flagged_metas, {_FOUND.format(form="(?s)<noscript>(.*?)</noscript>", pattern=sql("clean"))} AS flagged_noscripts FROM {seeded.pages_sql()}""")
+def sql_page_findings(spark, sf_dir):
+    register(spark)
+    return spark.sql(
+        """SELECT p.page_id, count_if(n.kind = 'comment') AS n_comments, count_if(n.kind = 'comment' AND is_instruction_html(n.text)) AS flagged_comments, count_if(is_instruction_html(n.attrs['alt'])) AS flagged_alts,
+             count_if(is_instruction_html(array_join(map_values(map_filter(n.attrs, (k, v) -> startswith(k, 'data-'))), '\n'))) AS flagged_data,
+             count_if(n.tag = 'meta' AND n.kind = 'element' AND is_instruction_clean(n.attrs['content'])) AS flagged_metas, count_if(n.parent_tag = 'noscript' AND n.kind = 'text' AND is_instruction_clean(n.text)) AS flagged_noscripts
+           FROM {pages} p LEFT JOIN LATERAL shred_html(p.html) n ON true GROUP BY p.page_id""",
+        pages=seeded.pages(table(spark, sf_dir, "pages")),
+    )
+
+
 # --- text -------------------------------------------------------------------------------------
 
 _ZW = "[" + "".join(f"\\x{{{c:04X}}}" for c in ZERO_WIDTH) + "]"
@@ -187,6 +218,20 @@ def injection_phrases(spark, sf_dir):
     return t.select("conv_id", "turn", *[instructs(F.col("text"), d).alias(f"is_{d}") for d in ("css", "html", "image", "clean")])
 
 
+_TOLD = "CASE doc_id % 9 " + " ".join(f"WHEN {k} THEN substr(text, 1, length(text) // 2) || ' {p} ' || substr(text, length(text) // 2 + 1)" for k, p in enumerate(seeded.PHRASES)) + " ELSE text END"
+
+
+@query("SELECT doc_id, " + ", ".join(f"regexp_matches(t, '{sql(d)}') AS is_{d}" for d in ("css", "html", "image", "clean")) + f" FROM (SELECT doc_id, {_TOLD} AS t FROM documents)")
+def document_instructions(spark, sf_dir):
+    """Whole documents, seven in nine with a phrase in their middle."""
+    half, t = F.expr("length(text) div 2"), F.col("text")
+    told = t
+    for k, phrase in enumerate(seeded.PHRASES):
+        told = F.when(F.col("doc_id") % 9 == k, F.concat(F.substring(t, F.lit(1), half), F.lit(f" {phrase} "), F.substr(t, half + 1))).otherwise(told)
+    d = table(spark, sf_dir, "documents").select("doc_id", told.alias("t"))
+    return d.select("doc_id", *[instructs(F.col("t"), x).alias(f"is_{x}") for x in ("css", "html", "image", "clean")])
+
+
 @query(f"SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM {seeded.turns_sql()} WHERE regexp_matches(text, '{sql('html')}')) WHERE k = 1")
 def first_injection_per_conversation(spark, sf_dir):
     t = seeded.turns(table(spark, sf_dir, "conversations")).filter(instructs(F.col("text"), "html"))
