@@ -6,13 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..dims import THREAT_TYPE, no_threats, threat
-from ..functions.css import PROPERTIES, applied, classes, classify, hiding, rules
+from ..functions.css import classes, hiding
 from ..functions.text import let, strip
 from ..patterns import instructs
 
 # Attributes that automated readers see, and names of usual meta tags.
-READABLE_ATTRS = sorted("aria-label aria-description aria-labelledby aria-describedby aria-details aria-placeholder aria-roledescription title alt placeholder summary".split())
-META_NAMES = "description keywords author viewport robots theme-color generator application-name referrer color-scheme format-detection".split()
+READABLE_ATTRS = ["alt", "aria-describedby", "aria-description", "aria-details", "aria-label", "aria-labelledby", "aria-placeholder", "aria-roledescription", "placeholder", "summary", "title"]
+META_NAMES = ["description", "keywords", "author", "viewport", "robots", "theme-color", "generator", "application-name", "referrer", "color-scheme", "format-detection"]
 NOT_SHOWN = ["style", "script", "head", "meta", "link"]
 
 
@@ -36,34 +36,25 @@ def visible_text(nodes: Column) -> Column:
     return F.array_join(F.transform(F.filter(nodes, lambda n: n["kind"] == "text"), lambda n: n["text"]), " ")
 
 
-def style_sheet(nodes: Column) -> Column:
-    """(sel, decls) of a document's style blocks, as far as the hiding checks look at them."""
-    blocks = F.transform(F.filter(nodes, lambda n: (n["kind"] == "raw") & (n["tag"] == "style")), lambda n: n["text"])
-    telling = lambda r: F.struct(r["selector"].alias("selector"), F.filter(r["decls"], lambda d: d["k"].isin(PROPERTIES)).alias("decls"))
-    useful = F.filter(F.transform(rules(blocks), telling), lambda r: F.size(r["decls"]) > 0)
-    return F.transform(useful, lambda r: F.struct(classify(r["selector"]).alias("sel"), r["decls"].alias("decls")))
-
-
 def hidden_elements(nodes: Column) -> Column:
     """(node, techniques) of the elements that styles hide, in document order."""
-
-    def find(sheet: Column) -> Column:
-        shown = F.filter(nodes, lambda n: (n["kind"] == "element") & ~n["tag"].isin(NOT_SHOWN))
-        styled = F.filter(shown, lambda n: n["attrs"]["style"].isNotNull() | (F.size(sheet) > 0))
-        checked = F.transform(styled, lambda n: F.struct(n.alias("node"), let(applied(n, sheet), lambda d: F.when(F.size(d) > 0, hiding(d)).otherwise(F.array().cast("array<string>"))).alias("techniques")))
-        return F.filter(checked, lambda x: F.size(x["techniques"]) > 0)
-
-    return let(style_sheet(nodes), find)
+    told = F.filter(nodes, lambda n: n["styles"].isNotNull() & ~n["tag"].isin(NOT_SHOWN))
+    checked = F.transform(told, lambda n: F.struct(n.alias("node"), hiding(n["styles"]).alias("techniques")))
+    return F.filter(checked, lambda x: F.size(x["techniques"]) > 0)
 
 
 def css_hidden(nodes: Column) -> Column:
     """Hidden texts of three characters or more: (text, node, techniques), the first of each techniques and 80-character beginning."""
     texts = F.transform(hidden_elements(nodes), lambda x: F.struct(element_text(nodes, x["node"]).alias("text"), x["node"].alias("node"), x["techniques"].alias("techniques")))
-    long = F.filter(texts, lambda x: F.length(x["text"]) >= 3)
     key = lambda x: F.concat(F.array_join(F.array_sort(x["techniques"]), "\n"), F.lit("\n\n"), F.left(x["text"], F.lit(80)))
-    keyed = F.transform(long, lambda x: F.struct(key(x).alias("key"), x.alias("x")))
-    firsts = let(keyed, lambda k: F.filter(k, lambda y, i: ~F.exists(F.slice(k, F.lit(1), i), lambda z: z["key"] == y["key"])))
-    return F.transform(firsts, lambda y: y["x"])
+
+    def firsts(long: Column) -> Column:
+        """Of equal keys the first: sorted by key and place, those that differ from the one before, in their old order."""
+        keyed = F.array_sort(F.transform(long, lambda x, i: F.struct(key(x).alias("key"), i.alias("i"))))
+        places = let(keyed, lambda k: F.filter(k, lambda y, i: (i == 0) | (y["key"] != F.get(k, i - 1)["key"])))
+        return F.transform(F.array_sort(F.transform(places, lambda y: y["i"])), lambda i: F.get(long, i))
+
+    return let(F.filter(texts, lambda x: F.length(x["text"]) >= 3), firsts)
 
 
 def css_threats(hidden: Column) -> Column:

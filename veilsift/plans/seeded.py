@@ -62,6 +62,63 @@ def turns_sql() -> str:
     return f"(SELECT conv_id, turn, role, CASE (conv_id + turn) % 9 {cases} ELSE text END AS text FROM conversations)"
 
 
+# Style block, opening tag, then what the tag's text is hidden by ("" if it is shown) and where it is said to be.
+STYLE_SEEDS = [
+    ("", '<div style="display: NONE">', "display:NONE", "<div>"),
+    ("", '<div style="visibility:hidden !important">', "visibility:hidden", "<div>"),
+    ("", '<span style="opacity:0">', "opacity:0", "<span>"),
+    ("", '<p style="font-size:0em">', "font-size:0em", "<p>"),
+    ("", '<b style="color: #FFF;background:#fff">', "color==background-color", "<b>"),
+    ("", '<div style="position:absolute;left:-10000px">', "position:absolute+extreme-left(-10000.0px)", "<div>"),
+    ("", '<div style="position:fixed;top:20000.5px">', "position:fixed+extreme-top(20000.5px)", "<div>"),
+    ("", '<p style="text-indent:-9999px">', "text-indent:-9999px", "<p>"),
+    ("", '<div style="height:0;overflow:hidden">', "height:0+overflow:hidden", "<div>"),
+    ("", '<div style="width:0px;overflow-y:clip">', "width:0+overflow:hidden", "<div>"),
+    ("", '<div style="clip: rect(0px, 0px, 0px, 0px)">', "clip:rect(0,0,0,0)", "<div>"),
+    ("", '<div style="opacity:1;display:none;opacity:0.0">', "display:none, opacity:0.0", "<div>"),
+    ("<style>.qa{display:none}</style>", '<p class="x qa">', "display:none", ".x"),
+    ("<style>#qb{visibility:hidden}</style>", '<p id="qb" class="y">', "visibility:hidden", "#qb"),
+    ("<style>p.qc{opacity:0} b.qc{opacity:1}</style>", '<p class="qc">', "opacity:0", ".qc"),
+    ("<style>P#qd{font-size:0}</style>", '<p id="qd">', "font-size:0", "#qd"),
+    ("<style>[data-qe]{display:none}</style>", '<p data-qe="">', "display:none", "<p>"),
+    ("<style>[data-qf='1']{display:none}</style>", '<p data-qf="1">', "display:none", "<p>"),
+    ("<style>/* .qg{} */ .other, .qg:hover{left:-99999px} .qg{position:absolute}</style>", '<p class="qg">', "position:absolute+extreme-left(-99999.0px)", ".qg"),
+    ("<style>.qh{display:none}</style><style>.qh{color:red}</style>", '<p class="qh">', "", ""),
+    ("<style>.qi{display:none}</style>", '<p class="qi" style="display:block">', "", ""),
+    ("<style>div .qj{display:none} .qj.x{display:none}</style>", '<p class="qj x">', "", ""),
+]
+
+
+def _words(url: Column) -> Column:
+    return F.trim(F.regexp_replace(url, "[^A-Za-z0-9]+", " "))
+
+
+def _end(html: Column, seed: Column) -> Column:
+    return F.when(html.contains("</body>"), F.replace(html, F.lit("</body>"), F.concat(seed, F.lit("</body>")))).otherwise(F.concat(html, seed))
+
+
+def styled_pages(df: DataFrame) -> DataFrame:
+    """pages with the words of their url in an element after STYLE_SEEDS[page_id % 23]; one in 23 stays."""
+    out = F.col("html")
+    for k, (block, tag, _, _) in enumerate(STYLE_SEEDS):
+        close = f"</{tag[1:].split()[0]}>"
+        out = F.when(F.col("page_id") % 23 == k, _end(F.col("html"), F.concat(F.lit(block + tag), _words(F.col("url")), F.lit(close)))).otherwise(out)
+    return df.withColumn("html", out)
+
+
+def style_sql(column: int) -> str:
+    """A CASE over STYLE_SEEDS by page_id; column 2 and 3 of it, or 4: what sanitising leaves of it."""
+    words = "trim(regexp_replace(url, '[^A-Za-z0-9]+', ' ', 'g'))"
+
+    def value(seed: tuple[str, str, str, str]) -> str:
+        if column < 4:
+            return "'" + seed[column].replace("'", "''") + "'"
+        block = seed[0].replace("'", "''")
+        return f"'{block}'" if seed[2] else f"'{block}{seed[1]}' || {words} || '</{seed[1][1:].split()[0]}>'"
+
+    return "CASE page_id % 23 " + " ".join(f"WHEN {k} THEN {value(s)}" for k, s in enumerate(STYLE_SEEDS)) + " ELSE '' END"
+
+
 def _one(kind: str, place: Column) -> Column:
     return threat(kind, F.lit("seeded"), F.lit("seeded"), "flagged", place)
 

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .styles import Sheet
+
 NODE = T.StructType(
     [
         T.StructField("pos", T.IntegerType()),
@@ -24,10 +26,12 @@ NODE = T.StructType(
         T.StructField("tag", T.StringType()),
         T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
         T.StructField("text", T.StringType()),
+        # of an element: what style sheets and its own style say about it, in order; null for nothing
+        T.StructField("styles", T.ArrayType(T.StructType([T.StructField("k", T.StringType()), T.StructField("v", T.StringType())]))),
     ]
 )
 NODES = T.ArrayType(NODE)
-_ARROW = pa.list_(pa.struct([("pos", pa.int32()), ("end", pa.int32()), ("parent", pa.int32()), ("kind", pa.string()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string())]))
+_ARROW = pa.list_(pa.struct([("pos", pa.int32()), ("end", pa.int32()), ("parent", pa.int32()), ("kind", pa.string()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("styles", pa.list_(pa.struct([("k", pa.string()), ("v", pa.string())])))]))
 
 # Fixed values of the HTML standard.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -136,6 +140,15 @@ def parse(html: str | None) -> list[dict]:
     return s.nodes
 
 
+def styled(nodes: list[dict]) -> list[dict]:
+    """The nodes, elements with what style sheets and their own style say about them."""
+    sheet = Sheet([n["text"] for n in nodes if n["kind"] == "raw" and n["tag"] == "style"])
+    for n in nodes:
+        told = sheet.of(n["tag"], dict(n["attrs"])) if n["kind"] == "element" else []
+        n["styles"] = [{"k": k, "v": v} for k, v in told] or None
+    return nodes
+
+
 def shred(docs: DataFrame, html: str = "html", out: str = "nodes") -> DataFrame:
     """docs with the column out: the nodes of each document."""
     schema = T.StructType([*docs.schema.fields, T.StructField(out, NODES)])
@@ -145,7 +158,7 @@ def shred(docs: DataFrame, html: str = "html", out: str = "nodes") -> DataFrame:
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([parse(x) for x in part.column(at).to_pylist()], _ARROW)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([styled(parse(x)) for x in part.column(at).to_pylist()], _ARROW)], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
