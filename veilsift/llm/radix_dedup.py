@@ -5,7 +5,8 @@ window is its anchor, the smallest fingerprint of its GRAM-byte strings; windows
 so a run of them is one row. Runs whose anchor occurs in no other place hold no repeated window and go. Of runs with
 equal bytes two stay, enough for their windows to meet, whatever their number. Anchors that more than HOT
 different runs share, say a common line in ever new surroundings, are dealt by the next digit: the smallest fingerprint
-after those before, up to DIGITS of them, and at last by the fingerprint of the whole window. The runs that are left are
+after those before, up to DIGITS of them, then by how far before the first of them they begin, and at last by the
+fingerprint of the whole window. Only one run of each kind is looked at again. The runs that are left are
 dealt to shards by their digits, so that equal windows meet, and each shard goes on with digits of eight bytes: groups
 that fall apart are sorted, single suffixes leave, and after the last digit the groups that remain are exactly the
 repeated windows. What a shard finds in a run holds for all runs with equal bytes.
@@ -31,10 +32,10 @@ from .staging import discard, stage
 from .textcols import _BYTE_CODES, _power, mix, utf8
 
 WINDOW, GRAM = 400, 64
-#: Bytes read at once, windows in a run at most, bytes sorted at once and bytes in a shard, about.
-BLOCK, LONGEST, SORT_BYTES, SHARD_BYTES = 1 << 19, 2048, 1 << 20, 128 << 20
-#: Different runs of an anchor from which on the next digit is looked at, and the number of anchors looked at.
-HOT, DIGITS = 500, 4
+#: Bytes read at once, windows in a run at most, and bytes sorted at once, about.
+BLOCK, LONGEST, SORT_BYTES = 1 << 19, 2048, 1 << 20
+#: Different runs of an anchor from which on the next digit is looked at, the number of anchors looked at, and windows in a cell.
+HOT, DIGITS, CELL = 500, 4, 16
 WORD = 8
 TOP = np.uint64(2**64 - 1)
 
@@ -57,11 +58,12 @@ def smallest(values: np.ndarray, reach: int) -> np.ndarray:
     return values
 
 
-def runs(data: np.ndarray, owner: np.ndarray, at: np.ndarray, digits: int, window: int, gram: int) -> tuple[np.ndarray, ...]:
+def runs(data: np.ndarray, owner: np.ndarray, at: np.ndarray, digits: int, window: int, gram: int, cell: int = 0) -> tuple[np.ndarray, ...]:
     """(first window, number of windows, key, fingerprint of the bytes, again) of the runs among the windows that start at `at`.
 
     owner numbers what a window must not leave; its equal values lie together. The windows of a run follow each other and
-    agree in their `digits` smallest fingerprints; without digits each window is a run. again: 1 where the first of these
+    agree in their `digits` smallest fingerprints, and with a cell in how many cells before the first of them they begin;
+    without digits each window is a run. again: 1 where the first of these
     fingerprints lies at several places of the run, so that its windows can repeat within it.
     """
     if not len(at):
@@ -88,6 +90,14 @@ def runs(data: np.ndarray, owner: np.ndarray, at: np.ndarray, digits: int, windo
         least = smallest(np.concatenate(parts), window - gram + 1)[where]
         keys.append(least)
         cut[1:] |= least[1:] != least[:-1]
+    if cell:
+        begin = np.flatnonzero(cut)
+        before = np.empty(len(at), np.int64)
+        for a, n in zip(begin.tolist(), np.diff(np.append(begin, len(at))).tolist(), strict=True):
+            found = np.flatnonzero(value[at[a] : at[a] + n + window - gram] == keys[0][a])
+            before[a : a + n] = (found[np.searchsorted(found, np.arange(n))] - np.arange(n)) // cell
+        keys.append(before.astype(np.uint64))
+        cut[1:] |= before[1:] != before[:-1]
     begin = np.flatnonzero(cut)
     length = np.diff(np.append(begin, len(at)))
     pieces = -(-length // LONGEST)
@@ -105,12 +115,9 @@ def runs(data: np.ndarray, owner: np.ndarray, at: np.ndarray, digits: int, windo
     return start, length, key, strings(data, start, start + length + window - 1), again.astype(np.int64)
 
 
-def _binaries(data: bytes, starts: list[int], ends: list[int]) -> pa.Array:
-    return pa.array([data[a:b] for a, b in zip(starts, ends, strict=True)], pa.binary())
-
-
 def run_table(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(key, bytes, again, r1, r2, start, n, copies): the runs of first digits of the documents (r1, r2, text)."""
+    """(key, bytes, again, r1, r2, start, n): the runs by first digits of the documents (r1, r2, text)."""
+    names = ["key", "bytes", "again", "r1", "r2", "start", "n"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,50 +130,67 @@ def run_table(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 owner = np.zeros(len(part), np.int64)
                 owner[: len(doc)] = doc
                 start, n, key, prints, again = runs(part, owner, at[fits] - a, 1, window, gram)
-                if len(start):
-                    row = pa.array(owner[start])
-                    yield _rows(key, prints, again, batch.column(0).take(row), batch.column(1).take(row), start + a - offsets[owner[start]], n, np.ones(len(n), np.int64))
+                row = pa.array(owner[start])
+                first = start + a - offsets[owner[start]]
+                yield pa.RecordBatch.from_arrays([*_named(key, prints, again), batch.column(0).take(row), batch.column(1).take(row), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], names=names)
 
-    return docs.mapInArrow(read, RUNS)
+    return docs.mapInArrow(read, "key long, bytes long, again byte, r1 long, r2 long, start int, n int")
 
 
-RUNS = "key long, bytes long, again byte, r1 long, r2 long, start int, n int, copies long"
+def _named(key: np.ndarray, prints: np.ndarray, again: np.ndarray) -> list[pa.Array]:
+    return [pa.array(key.view(np.int64)), pa.array(prints.view(np.int64)), pa.array(again.astype(np.int8))]
 
 
-def _rows(key: np.ndarray, prints: np.ndarray, again: np.ndarray, r1: pa.Array, r2: pa.Array, start: np.ndarray, n: np.ndarray, copies: np.ndarray) -> pa.RecordBatch:
-    columns = [pa.array(key.view(np.int64)), pa.array(prints.view(np.int64)), pa.array(again.astype(np.int8)), r1, r2, pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(copies)]
-    return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in RUNS.split(", ")])
+def _items(items: pa.Array, *fields: str) -> list[np.ndarray]:
+    flat = items.flatten()
+    return [flat.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in fields]
 
 
-def _chosen(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """(text, items): the documents that places (r1, r2, ...) name, each once, with their places."""
-    rest = [c for c in places.columns if c not in ("r1", "r2")]
-    by_row = places.groupBy("r1", "r2").agg(F.collect_list(F.struct(*rest)).alias("items"))
-    return docs.join(by_row, ["r1", "r2"]).dropDuplicates(["r1", "r2"])
+def pieces_of(texts: DataFrame, places: DataFrame, window: int, *name: str) -> DataFrame:
+    """(key, bytes, hot, copies, run): the bytes of places (name, start, n, key, bytes, hot, copies) of texts (name, data)."""
+    listed = places.groupBy(*name).agg(F.collect_list(F.struct("key", "bytes", "hot", "copies", "start", "n")).alias("items"))
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                raw, items = batch.column(0)[row].as_buffer().to_pybytes(), batch.column(1).slice(row, 1)
+                start, n = _items(items, "start", "n")
+                runs = pa.array([raw[a:b] for a, b in zip(start.tolist(), (start + n + window - 1).tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*[items.flatten().field(f) for f in ("key", "bytes", "hot", "copies")], runs], names=["key", "bytes", "hot", "copies", "run"])
 
-def refined(docs: DataFrame, hot: DataFrame, digits: int, window: int, gram: int) -> DataFrame:
-    """The runs hot (r1, r2, start, n, copies) as runs of so many digits, or window by window for 0."""
+    # Rows that agree in everything are read once.
+    return texts.join(listed, [*name]).dropDuplicates([*name]).select("data", "items").mapInArrow(cut, "key long, bytes long, hot boolean, copies long, run binary")
+
+
+def refined(whole: DataFrame, places: DataFrame, digits: int, window: int, gram: int) -> DataFrame:
+    """(key, bytes, again, name, start, n, copies): places (name, start, n, copies) of the runs whole (name, data) as runs by
+    so many digits, by cells from DIGITS + 1 on, or window by window for 0."""
+    listed = places.groupBy("name").agg(F.collect_list(F.struct("start", "n", "copies")).alias("items"))
+    cell = CELL if digits > DIGITS else 0
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                data, items = utf8(batch.column(2).slice(row, 1))[0], batch.column(3).slice(row, 1).flatten()
-                begins, sizes, weights = (items.field(f).to_numpy().astype(np.int64) for f in ("start", "n", "copies"))
-                for a in range(0, len(items), max(1, BLOCK // (LONGEST + window))):
-                    here = slice(a, a + max(1, BLOCK // (LONGEST + window)))
-                    first, n, copies = begins[here], sizes[here], weights[here]
-                    begin = np.cumsum(n + window - 1) - (n + window - 1)
-                    part = np.concatenate([data[x : x + m + window - 1] for x, m in zip(first.tolist(), n.tolist(), strict=True)])
-                    owner = np.repeat(np.arange(len(first)), n + window - 1)
-                    at = np.arange(n.sum()) + np.repeat(begin - (np.cumsum(n) - n), n)
-                    start, m, key, prints, again = runs(part, owner, at, digits, window, gram)
-                    of, same = owner[start], pa.array(np.full(len(start), row))
-                    yield _rows(key, prints, again, batch.column(0).take(same), batch.column(1).take(same), start - begin[of] + first[of], m, copies[of])
-
-    # Equal rows share their places: they are read once, and each place counts for all of them.
-    places = hot.groupBy("r1", "r2", "start", "n").agg(F.sum("copies").alias("copies"))
-    return _chosen(docs, places).select("r1", "r2", "text", "items").mapInArrow(read, RUNS)
+            if not batch.num_rows:
+                continue
+            data, offsets = utf8(batch.column(1).view(pa.string()))
+            begins, sizes, weights = _items(batch.column(2), "start", "n", "copies")
+            of = np.repeat(np.arange(batch.num_rows), batch.column(2).value_lengths().to_numpy(zero_copy_only=False))
+            ends = np.cumsum(sizes + window - 1)
+            a = 0
+            while a < len(of):
+                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + BLOCK)))
+                n, low = sizes[a:b], offsets[of[a:b]] + begins[a:b]
+                begin = ends[a:b] - (n + window - 1) - (ends[a - 1] if a else 0)
+                part = np.concatenate([data[x : x + m + window - 1] for x, m in zip(low.tolist(), n.tolist(), strict=True)])
+                owner = np.repeat(np.arange(b - a), n + window - 1)
+                at = np.arange(n.sum()) + np.repeat(begin - (np.cumsum(n) - n), n)
+                start, m, key, prints, again = runs(part, owner, at, min(digits, DIGITS), window, gram, cell)
+                which = owner[start]
+                place = start - begin[which] + begins[a:b][which]
+                yield pa.RecordBatch.from_arrays([*_named(key, prints, again), batch.column(0).take(pa.array(of[a:b][which])), pa.array(place.astype(np.int32)), pa.array(m.astype(np.int32)), pa.array(weights[a:b][which])], names=["key", "bytes", "again", "name", "start", "n", "copies"])
+                a = b
+
+    return whole.join(listed, "name").select("name", "data", "items").mapInArrow(read, "key long, bytes long, again byte, name long, start int, n int, copies long")
 
 
 def repeated_in_shard(keys: np.ndarray, data: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -214,43 +238,69 @@ def repeated_in_shard(keys: np.ndarray, data: np.ndarray, offsets: np.ndarray, w
     return owner[head], hit[head] - offsets[owner[head]], last + 1 - offsets[owner[head]]
 
 
+def judged(level: DataFrame, hot: bool, *place: str) -> DataFrame:
+    """(key, bytes, copies, a, b, hot) of the different runs of a level whose key lies at several places; a and b are two of a
+    run's places, the same twice if there is no other."""
+    at = F.struct(*place, "start", "n")
+    kinds = stage(level.groupBy("key", "bytes").agg(F.sum("copies").alias("copies"), F.max("again").alias("again"), F.min(at).alias("a"), F.max(at).alias("b")))
+    keys = kinds.groupBy("key").agg(F.sum("copies").alias("occurs"), F.count("*").alias("kinds"), F.max("again").alias("again")).filter("occurs > 1 OR again > 0")
+    kept = stage(kinds.join(keys.select("key", ((F.col("kinds") > HOT) & F.lit(hot)).alias("hot")), "key").drop("again"))
+    discard(kinds)
+    return kept
+
+
+def _places(kept: DataFrame) -> DataFrame:
+    """Two places of each run that occurs twice or more, so that its windows meet; one of those that are looked at again."""
+    both = F.when((F.col("copies") > 1) & ~F.col("hot"), F.array("a", "b")).otherwise(F.array("a"))
+    return kept.select("key", "bytes", "hot", "copies", F.explode(both).alias("at")).select("key", "bytes", "hot", "copies", "at.*")
+
+
 def repeated(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(r1, r2, from, to): first and last + 1 window of stretches of repeated windows of the documents (r1, r2, text)."""
-    found: list[DataFrame] = []
-    level = stage(run_table(docs, window, gram))
-    digits, used = 1, [level]
-    while True:
-        place = F.struct("r1", "r2", "start", "n")
-        kinds = stage(level.groupBy("key", "bytes").agg(F.sum("copies").alias("copies"), F.max("again").alias("again"), F.min(place).alias("a"), F.max(place).alias("b")))
-        keys = kinds.groupBy("key").agg(F.sum("copies").alias("occurs"), F.count("*").alias("kinds"), F.max("again").alias("again")).filter("occurs > 1 OR again > 0")
-        kept = stage(kinds.join(keys.select("key", ((F.col("kinds") > HOT) & F.lit(digits > 0)).alias("hot")), "key"))
-        cold = kept.filter("NOT hot").select("key", "bytes", F.explode(F.when(F.col("copies") > 1, F.array("a", "b")).otherwise(F.array("a"))).alias("at")).select("key", "bytes", "at.*")
-        found.append(_in_shards(docs, cold, window).join(level.select("bytes", "r1", "r2", "start"), "bytes").select("r1", "r2", (F.col("start") + F.col("first")).alias("from"), (F.col("start") + F.col("last")).alias("to")))
-        hot = kept.filter("hot").select("bytes")
-        used += [kinds, kept]
-        if hot.isEmpty():
-            break
-        digits = digits + 1 if 0 < digits < DIGITS else 0
-        level = stage(refined(docs, level.join(hot, "bytes", "left_semi"), digits, window, gram))
-        used.append(level)
-    result = found[0]
+    """(r1, r2, start, found): by run, which of its windows, from first to before last, occur elsewhere too."""
+    first = stage(run_table(docs, window, gram))
+    kept = judged(first.withColumn("copies", F.lit(1).cast("long")), True, "r1", "r2")
+    pieces = stage(pieces_of(docs.withColumnRenamed("text", "data"), _places(kept), window, "r1", "r2"))
+    found = [stage(in_shards(pieces.filter("NOT hot"), window)).select(F.col("bytes").alias("name"), "first", "last")]
+    whole = pieces.filter("hot").select(F.col("bytes").alias("name"), F.col("run").alias("data"))
+    places = kept.filter("hot").select(F.col("bytes").alias("name"), F.lit(0).alias("start"), "a.n", "copies")
+    digits, used = 1, [kept]
+    while not places.isEmpty():
+        digits = digits + 1 if digits <= DIGITS else 0
+        level = stage(refined(whole, places, digits, window, gram))
+        kept = judged(level, digits > 0, "name")
+        cold = stage(in_shards(pieces_of(whole, _places(kept.filter("NOT hot")), window, "name"), window))
+        found.append(cold.join(level.select("bytes", "name", "start"), "bytes").select("name", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last")))
+        places = level.join(kept.filter("hot").select("bytes"), "bytes", "left_semi").groupBy("name", "start", "n").agg(F.sum("copies").alias("copies"))
+        used += [level, kept]
+    every = found[0]
     for more in found[1:]:
-        result = result.unionByName(more)
-    result = stage(result)
-    discard(*used)
-    return result
+        every = every.unionByName(more)
+    # A run has LONGEST windows at most, and so many intervals.
+    merged = stage(every.groupBy("name").agg(F.collect_set(F.struct("first", "last")).alias("found")).mapInArrow(_merged, "name long, found array<struct<first:long,last:long>>"))
+    discard(*used, pieces)
+    return first.join(merged.withColumnRenamed("name", "bytes"), "bytes").select("r1", "r2", "start", "found")
 
 
-def _in_shards(docs: DataFrame, chosen: DataFrame, window: int) -> DataFrame:
-    """(bytes, first, last): the repeated windows of the runs (key, bytes, r1, r2, start, n), by their bytes."""
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that touch as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+    for batch in batches:
+        spans = [[{"first": a, "last": b} for a, b in _joined([(x["first"], x["last"]) for x in found])] for found in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], names=["name", "found"])
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                raw = batch.column(0)[row].as_buffer().to_pybytes()
-                items = batch.column(1).slice(row, 1).flatten()
-                start = items.field("start").to_numpy().astype(np.int64)
-                yield pa.RecordBatch.from_arrays([items.field("key"), items.field("bytes"), _binaries(raw, start.tolist(), (start + items.field("n").to_numpy() + window - 1).tolist())], names=["key", "bytes", "run"])
+
+def in_shards(pieces: DataFrame, window: int) -> DataFrame:
+    """(bytes, first, last): the repeated windows of the runs (key, bytes, run), by the fingerprint of the run's bytes."""
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, last = [], 0, None
@@ -280,10 +330,8 @@ def _in_shards(docs: DataFrame, chosen: DataFrame, window: int) -> DataFrame:
         run, first, last = repeated_in_shard(keys, np.frombuffer(b"".join(values), np.uint8), offsets, window)
         return pa.RecordBatch.from_arrays([pa.array(names[run]), pa.array(first), pa.array(last)], names=["bytes", "first", "last"])
 
-    pieces = _chosen(docs, chosen).select("text", "items").mapInArrow(cut, "key long, bytes long, run binary")
-    total = chosen.agg(F.sum(F.col("n") + window - 1)).first()[0] or 0
-    shards = max(int(total // SHARD_BYTES) + 1, docs.sparkSession.sparkContext.defaultParallelism)
-    return stage(pieces.repartition(shards, "key").sortWithinPartitions("key").mapInArrow(shard, "bytes long, first long, last long").distinct())
+    shards = max(int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")), pieces.sparkSession.sparkContext.defaultParallelism)
+    return pieces.select("key", "bytes", "run").repartition(shards, "key").sortWithinPartitions("key").mapInArrow(shard, "bytes long, first long, last long").distinct()
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -291,29 +339,18 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     if gram > window:
         raise ValueError("gram has to fit into a window")
     rows = docs.select(F.xxhash64(docs[key], docs[text]).alias("r1"), F.xxhash64(F.lit(1), docs[key], docs[text]).alias("r2"), docs[key].alias("key"), docs[text].alias("text"))
-    found = repeated(rows.select("r1", "r2", "text"), window, gram).groupBy("r1", "r2").agg(F.collect_set(F.struct("from", "to")).alias("found"))
+    found = repeated(rows.select("r1", "r2", "text"), window, gram).groupBy("r1", "r2").agg(F.collect_set(F.struct("start", "found")).alias("found"))
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, spans, kept = [], [], []
-            for row in range(batch.num_rows):
-                value, own = batch.column(1)[row], batch.column(2).slice(row, 1).flatten()
+            for value, own in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
                 raw = value.as_buffer().to_pybytes() if value.is_valid else b""
-                out, left = [], []
-                start, end = own.field("from").to_numpy(), own.field("to").to_numpy() + window - 1
-                order = np.argsort(start)
-                for a, b in zip(start[order].tolist(), end[order].tolist(), strict=True):
-                    if out and a <= out[-1]["to"]:
-                        out[-1]["to"] = max(b, out[-1]["to"])
-                    else:
-                        out.append({"from": a, "to": b})
-                at = 0
-                for s in out:
-                    left.append(raw[at : s["from"]])
-                    at = s["to"]
+                out = _joined([(o["start"] + x["first"], o["start"] + x["last"] + window - 1) for o in own or () for x in o["found"]])
+                edges = [0, *[e for span in out for e in span], len(raw)]
                 sizes.append(len(raw))
-                spans.append(out)
-                kept.append(b"".join([*left, raw[at:]]))
+                spans.append([{"from": a, "to": b} for a, b in out])
+                kept.append(b"".join(raw[edges[k] : edges[k + 1]] for k in range(0, len(edges), 2)))
             gone = pa.array([sum(s["to"] - s["from"] for s in x) for x in spans], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), gone, pa.array(spans, pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))), pa.array(kept, pa.binary())], names=["key", "n_bytes", "n_removed", "removed", "kept"])
 
