@@ -101,7 +101,7 @@ def test_op8(spark, documents):
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_queries_with_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "conversations"):
+    for table in ("documents", "conversations", "embeddings"):
         con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     df = QUERIES[name](spark, SF)
     want = con.sql(f"SELECT {', '.join(df.columns)} FROM ({ORACLE[name]})").fetchall()
