@@ -502,3 +502,16 @@ def threat_windows(spark, sf_dir):
 
     return windows(seeded_history(spark, sf_dir)).select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "type", "n")
 
+
+
+@query(f"SELECT source, id, seq, position FROM (SELECT source, id, seq, row_number() OVER (PARTITION BY source ORDER BY timestamp DESC, seq DESC, id DESC)::INT AS position FROM {seeded.history_sql()}) WHERE position <= 500")
+def streamed_history(spark, sf_dir):
+    """The last 500 scans of each source from a stream of six batches, stopped after the third and started again."""
+    from ..streaming import history as kept
+
+    path, scans = kept.shared_dir(spark), seeded_history(spark, sf_dir).select("id", "seq", "timestamp", "source", "safe")
+    for half in (F.col("seq") % 7 < 3, F.col("seq") % 7 >= 3):
+        scans.filter(half).repartition(3, "seq").write.mode("append").parquet(f"{path}/scans")
+        stream = spark.readStream.schema(scans.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/scans")
+        kept.run(stream, path)
+    return kept.live(kept.read(spark, path)).select("source", "id", "seq", "position")
