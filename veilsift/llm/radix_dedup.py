@@ -5,8 +5,8 @@ window is its anchor, the smallest fingerprint of its GRAM-byte strings; windows
 so a run of them is one row. Runs whose anchor occurs in no other place hold no repeated window and go. Of runs with
 equal bytes two stay, enough for their windows to meet, whatever their number. Anchors that more than HOT
 different runs share, say a common line in ever new surroundings, are dealt by the next digit: the smallest fingerprint
-after those before, up to DIGITS of them, then by how far before the first of them they begin, and at last by the
-fingerprint of the whole window. Only one run of each kind is looked at again. The runs that are left are
+after those before, up to DIGITS of them, then by how far before the first of them they begin, in ever smaller
+cells, and at last by the fingerprint of the whole window. Only one run of each kind is looked at again. The runs that are left are
 dealt to shards by their digits, so that equal windows meet, and each shard goes on with digits of eight bytes: groups
 that fall apart are sorted, single suffixes leave, and after the last digit the groups that remain are exactly the
 repeated windows. What a shard finds in a run holds for all runs with equal bytes.
@@ -35,7 +35,7 @@ WINDOW, GRAM = 400, 64
 #: Bytes read at once, windows in a run at most, and bytes sorted at once, about.
 BLOCK, LONGEST, SORT_BYTES = 1 << 19, 2048, 1 << 20
 #: Different runs of an anchor from which on the next digit is looked at, the number of anchors looked at, and windows in a cell.
-HOT, DIGITS, CELL = 500, 4, 16
+HOT, DIGITS, CELLS = 500, 3, [32, 16, 8, 4, 2]
 WORD = 8
 TOP = np.uint64(2**64 - 1)
 
@@ -162,11 +162,10 @@ def pieces_of(texts: DataFrame, places: DataFrame, window: int, *name: str) -> D
     return texts.join(listed, [*name]).dropDuplicates([*name]).select("data", "items").mapInArrow(cut, "key long, bytes long, hot boolean, copies long, run binary")
 
 
-def refined(whole: DataFrame, places: DataFrame, digits: int, window: int, gram: int) -> DataFrame:
+def refined(whole: DataFrame, places: DataFrame, digits: int, cell: int, window: int, gram: int) -> DataFrame:
     """(key, bytes, again, name, start, n, copies): places (name, start, n, copies) of the runs whole (name, data) as runs by
-    so many digits, by cells from DIGITS + 1 on, or window by window for 0."""
+    so many digits and in cells of so many windows, or window by window for no digits."""
     listed = places.groupBy("name").agg(F.collect_list(F.struct("start", "n", "copies")).alias("items"))
-    cell = CELL if digits > DIGITS else 0
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,7 +183,7 @@ def refined(whole: DataFrame, places: DataFrame, digits: int, window: int, gram:
                 part = np.concatenate([data[x : x + m + window - 1] for x, m in zip(low.tolist(), n.tolist(), strict=True)])
                 owner = np.repeat(np.arange(b - a), n + window - 1)
                 at = np.arange(n.sum()) + np.repeat(begin - (np.cumsum(n) - n), n)
-                start, m, key, prints, again = runs(part, owner, at, min(digits, DIGITS), window, gram, cell)
+                start, m, key, prints, again = runs(part, owner, at, digits, window, gram, cell)
                 which = owner[start]
                 place = start - begin[which] + begins[a:b][which]
                 yield pa.RecordBatch.from_arrays([*_named(key, prints, again), batch.column(0).take(pa.array(of[a:b][which])), pa.array(place.astype(np.int32)), pa.array(m.astype(np.int32)), pa.array(weights[a:b][which])], names=["key", "bytes", "again", "name", "start", "n", "copies"])
@@ -263,10 +262,11 @@ def repeated(docs: DataFrame, window: int, gram: int) -> DataFrame:
     found = [stage(in_shards(pieces.filter("NOT hot"), window)).select(F.col("bytes").alias("name"), "first", "last")]
     whole = pieces.filter("hot").select(F.col("bytes").alias("name"), F.col("run").alias("data"))
     places = kept.filter("hot").select(F.col("bytes").alias("name"), F.lit(0).alias("start"), "a.n", "copies")
-    digits, used = 1, [kept]
-    while not places.isEmpty():
-        digits = digits + 1 if digits <= DIGITS else 0
-        level = stage(refined(whole, places, digits, window, gram))
+    used = [kept]
+    for digits, cell in [*[(d, 0) for d in range(2, DIGITS + 1)], *[(DIGITS, c) for c in CELLS], (0, 0)]:
+        if places.isEmpty():
+            break
+        level = stage(refined(whole, places, digits, cell, window, gram))
         kept = judged(level, digits > 0, "name")
         cold = stage(in_shards(pieces_of(whole, _places(kept.filter("NOT hot")), window, "name"), window))
         found.append(cold.join(level.select("bytes", "name", "start"), "bytes").select("name", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last")))
