@@ -20,6 +20,7 @@ place. An empty table gives an empty table. Other columns are ignored, whatever
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ WINDOW, GRAM = 400, 64
 #: Bytes read at once, windows in a run at most, and bytes sorted at once, about.
 BLOCK, LONGEST, SORT_BYTES = 1 << 19, 2048, 1 << 20
 #: Different runs of an anchor from which on the next digit is looked at, the number of anchors looked at, and windows in a cell.
-HOT, DIGITS, CELLS = 500, 3, [32, 16, 8, 4, 2]
+HOT, DIGITS, CELLS = 500, 2, [32, 8, 2]
 WORD = 8
 TOP = np.uint64(2**64 - 1)
 
@@ -262,19 +263,23 @@ def repeated(docs: DataFrame, window: int, gram: int) -> DataFrame:
     found = [stage(in_shards(pieces.filter("NOT hot"), window)).select(F.col("bytes").alias("name"), "first", "last")]
     whole = pieces.filter("hot").select(F.col("bytes").alias("name"), F.col("run").alias("data"))
     places = kept.filter("hot").select(F.col("bytes").alias("name"), F.lit(0).alias("start"), "a.n", "copies")
-    used = [kept]
-    for digits, cell in [*[(d, 0) for d in range(2, DIGITS + 1)], *[(DIGITS, c) for c in CELLS], (0, 0)]:
+    levels, cold, used = [], [], [kept]
+    for step, (digits, cell) in enumerate([*[(d, 0) for d in range(2, DIGITS + 1)], *[(DIGITS, c) for c in CELLS], (0, 0)]):
         if places.isEmpty():
             break
-        level = stage(refined(whole, places, digits, cell, window, gram))
+        # Keys and names of bytes are of their own in each step, so that all steps can be sorted together.
+        own = {c: F.xxhash64(c, F.lit(step)) for c in ("key", "bytes")}
+        level = stage(refined(whole, places, digits, cell, window, gram).withColumns(own))
         kept = judged(level, digits > 0, "name")
-        cold = stage(in_shards(pieces_of(whole, _places(kept.filter("NOT hot")), window, "name"), window))
-        found.append(cold.join(level.select("bytes", "name", "start"), "bytes").select("name", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last")))
+        levels.append(level)
+        cold.append(_places(kept.filter("NOT hot")))
         places = level.join(kept.filter("hot").select("bytes"), "bytes", "left_semi").groupBy("name", "start", "n").agg(F.sum("copies").alias("copies"))
         used += [level, kept]
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
+    if levels:
+        every = reduce(DataFrame.unionByName, levels).select("bytes", "name", "start")
+        sorted_runs = stage(in_shards(pieces_of(whole, reduce(DataFrame.unionByName, cold), window, "name"), window))
+        found.append(sorted_runs.join(every, "bytes").select("name", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last")))
+    every = reduce(DataFrame.unionByName, found)
     # A run has LONGEST windows at most, and so many intervals.
     merged = stage(every.groupBy("name").agg(F.collect_set(F.struct("first", "last")).alias("found")).mapInArrow(_merged, "name long, found array<struct<first:long,last:long>>"))
     discard(*used, pieces)
