@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CAPACITY = 500
+#: Rows of a range of an ordered table, about, and the most ranges; beyond that ranges become longer.
+RANGE_ROWS, MAX_RANGES = 1_000_000, 10_000
+
+
+def order() -> list[Column]:
+    """Newest first: by time, seq and id; rows without a time last."""
+    return [F.desc("timestamp"), F.desc("seq"), F.desc("id")]
 
 
 def record(scans: DataFrame, source: str, hint: str) -> DataFrame:
@@ -36,6 +43,43 @@ def page(history: DataFrame, number: int = 1, size: int = 20, safe: bool | None
     return ranked.filter(F.col("position") > (number - 1) * size).crossJoin(F.broadcast(total))
 
 
+def write_ordered(history: DataFrame, path: str, ranges: int | None = None) -> None:
+    """history as a table at path, in ranges of about RANGE_ROWS rows by falling time, seq and id; rows without a time last."""
+    n = ranges or min(MAX_RANGES, history.count() // RANGE_ROWS + 1)
+    history.repartitionByRange(n, *order()).withColumn("range", F.spark_partition_id()).write.mode("overwrite").partitionBy("range").parquet(path)
+
+
+def ranges(spark: SparkSession, path: str) -> DataFrame:
+    """(range, n, before) of an ordered table: the rows of each range, and of all ranges before it. At most MAX_RANGES rows."""
+    counted = spark.read.parquet(path).groupBy("range").agg(F.count("*").alias("n"))
+    return counted.withColumn("before", F.sum("n").over(Window.orderBy("range")) - F.col("n"))
+
+
+def numbered(spark: SparkSession, path: str) -> DataFrame:
+    """Every row of an ordered table with its position, from 1: its place in its range and the rows before that."""
+    place = F.row_number().over(Window.partitionBy("range").orderBy(*order()))
+    placed = spark.read.parquet(path).withColumn("place", place).join(F.broadcast(ranges(spark, path)), "range")
+    return placed.withColumn("position", F.col("before") + F.col("place")).drop("range", "n", "before", "place")
+
+
+def page_at(spark: SparkSession, path: str, number: int = 1, size: int = 20) -> DataFrame:
+    """Rows of one page of an ordered table with their positions; only the ranges that hold the page are read."""
+    number, size = max(1, number), min(100, max(1, size))
+    low, high = (number - 1) * size, number * size
+    hold = ranges(spark, path).filter((F.col("before") < high) & (F.col("before") + F.col("n") > low)).orderBy("range").collect()
+    before = hold[0]["before"] if hold else high
+    rows = spark.read.parquet(path).filter(F.col("range").isin([r["range"] for r in hold]))
+    top = rows.drop("range").orderBy(*order()).limit(high - before)
+    return top.withColumn("position", F.row_number().over(Window.orderBy(*order())) + F.lit(before)).filter(F.col("position") > low)
+
+
+def after(history: DataFrame, timestamp: float, seq: int, scan_id: str, size: int = 20) -> DataFrame:
+    """The next rows behind the one with this key, by a filter that reaches the scan and a top-k, whatever the depth."""
+    t, s = F.col("timestamp"), F.col("seq")
+    behind = (t < timestamp) | ((t == timestamp) & ((s < seq) | s.isNull() | ((s == seq) & (F.col("id") < scan_id)))) | t.isNull()
+    return history.filter(((t <= timestamp) | t.isNull()) & behind).orderBy(*order()).limit(min(100, max(1, size)))
+
+
 def pages_needed(total: int, size: int = 20) -> int:
     return -(-total // size)
 

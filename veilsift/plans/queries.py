@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..dims import THREATS, WEIGHTS, ZERO_WIDTH, confusables, threat_dim
@@ -329,6 +329,38 @@ def history_page(spark, sf_dir):
     return history.page(seeded_history(spark, sf_dir), 2, 20, safe=False).select("id", "position", "total")
 
 
+_PLACED = f"(SELECT *, row_number() OVER (ORDER BY timestamp DESC, seq DESC, id DESC) AS position FROM {seeded.history_sql()})"
+
+
+def _ordered(spark: SparkSession, sf_dir: str) -> str:
+    """The seeded history as an ordered table of sixteen ranges."""
+    from ..streaming.history import shared_dir
+
+    path = f"{shared_dir(spark)}/ordered"
+    history.write_ordered(seeded_history(spark, sf_dir).select("id", "seq", "timestamp", "source", "safe"), path, ranges=16)
+    return path
+
+
+@query(f"SELECT (position - 1) // 20 + 1 AS page, count(*)::BIGINT AS n, max_by(id, -position) AS first_id, max_by(id, position) AS last_id, (count(*) FILTER (safe))::BIGINT AS safe_count FROM {_PLACED} GROUP BY ALL")
+def history_pages(spark, sf_dir):
+    """What every page of the whole history holds, by positions that no single task gives."""
+    rows = history.numbered(spark, _ordered(spark, sf_dir)).withColumn("page", F.expr("(position - 1) div 20 + 1"))
+    return rows.groupBy("page").agg(F.count("*").alias("n"), F.min_by("id", "position").alias("first_id"), F.max_by("id", "position").alias("last_id"), F.count_if("safe").alias("safe_count"))
+
+
+@query(f"SELECT id, position::BIGINT AS position, position > 600 AS continued FROM {_PLACED} WHERE position BETWEEN 581 AND 620")
+def history_deep_page(spark, sf_dir):
+    """Page 30 from the ranges that hold it, and the page behind it from its last row's key."""
+    path = _ordered(spark, sf_dir)
+    page = history.page_at(spark, path, 30, 20)
+    last = page.orderBy(F.desc("position")).first()
+    if last is None:
+        return page.select("id", "position", F.lit(False).alias("continued"))
+    more = history.after(spark.read.parquet(path), last["timestamp"], last["seq"], last["id"], 20)
+    place = F.row_number().over(Window.orderBy(*history.order())) + F.lit(last["position"])
+    return page.select("id", "position", F.lit(False).alias("continued")).unionByName(more.select("id", place.alias("position"), F.lit(True).alias("continued")))
+
+
 @query(f"SELECT id FROM (SELECT id, row_number() OVER (ORDER BY timestamp DESC, seq DESC) AS k FROM {seeded.history_sql()}) WHERE k <= 500")
 def ring_buffer(spark, sf_dir):
     return history.newest(seeded_history(spark, sf_dir)).select("id")
@@ -515,3 +547,17 @@ def streamed_history(spark, sf_dir):
         stream = spark.readStream.schema(scans.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/scans")
         kept.run(stream, path)
     return kept.live(kept.read(spark, path)).select("source", "id", "seq", "position")
+
+
+@query("""SELECT request_id, unnest(range(len(told)))::INT AS seq, unnest(told) AS event FROM (SELECT 'r' || page_id AS request_id, CASE WHEN page_id % 9 = 0 THEN ['error']
+    WHEN page_id % 8 = 7 THEN ['start', 'progress', 'tier', 'complete'] ELSE ['start', 'progress', 'tier', 'threat', 'complete'] END AS told FROM pages)""")
+def streamed_requests(spark, sf_dir):
+    """Request lines with the seeded pages, some sent twice, broken or of unknown type, as a stream that is stopped and started again."""
+    from ..streaming import requests as asked
+    from ..streaming.history import shared_dir
+
+    path = shared_dir(spark)
+    for half in (0, 1):
+        seeded.request_lines(seeded.pages(table(spark, sf_dir, "pages"))).filter(F.col("part") == half).select("value").repartition(3).write.mode("append").text(f"{path}/lines")
+        asked.answer(spark.readStream.option("maxFilesPerTrigger", 1).text(f"{path}/lines"), path)
+    return asked.answers(spark, path).select("request_id", "seq", "event")

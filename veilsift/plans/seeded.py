@@ -142,6 +142,17 @@ def history_sql() -> str:
         CASE WHEN event_id % 4 = 0 THEN []::VARCHAR[] WHEN event_id % 2 = 1 THEN [{kinds}[(event_id % 15 + 1)::INT], {kinds}[(event_id % 7 + 1)::INT]] ELSE [{kinds}[(event_id % 15 + 1)::INT]] END AS kinds FROM events)"""
 
 
+def request_lines(pages: DataFrame) -> DataFrame:
+    """(part, value): a request line for each page, of unknown type for every ninth; every fifth is sent again in the other
+    part, and behind every seventh comes a broken line."""
+    p = F.col("page_id")
+    sent = F.date_format(F.timestamp_seconds(F.lit(1704067200) + p % 1000), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    whole = F.to_json(F.struct(F.concat(F.lit("r"), p.cast("string")).alias("request_id"), sent.alias("sent"), F.when(p % 9 == 0, "ping").otherwise("scan_content").alias("type"), F.col("html").alias("content"), F.lit("text/html").alias("content_type")))
+    line = lambda part, value: F.struct(part.cast("int").alias("part"), value.alias("value"))
+    lines = F.array(line(p % 2, whole), F.when(p % 5 == 0, line((p + 1) % 2, whole)), F.when(p % 7 == 0, line(p % 2, F.left(whole, F.lit(30)))))
+    return pages.select(F.explode(F.array_compact(lines)).alias("line")).select("line.*")
+
+
 def fetches(docs: DataFrame, width: int) -> DataFrame:
     """Two fetches of an address per document: people get its whole text in paragraphs of width characters to its end; agents
     get, for every third document, one paragraph more, and for every fifth, the first one changed."""

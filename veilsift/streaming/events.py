@@ -11,9 +11,9 @@ REQUEST = "struct<type: string, url: string, content: string, content_type: stri
 KNOWN = ["scan_url", "scan_content"]
 
 
-def requests(lines: DataFrame, value: str = "value") -> DataFrame:
+def requests(lines: DataFrame, value: str = "value", fields: str = REQUEST) -> DataFrame:
     """Requests from JSON lines; broken lines go, unknown types become error rows."""
-    parsed = lines.select("*", F.from_json(value, REQUEST, {"mode": "PERMISSIVE"}).alias("r")).filter(F.col("r.type").isNotNull())
+    parsed = lines.select("*", F.from_json(value, fields, {"mode": "PERMISSIVE"}).alias("r")).filter(F.col("r.type").isNotNull())
     return parsed.select(*[c for c in lines.columns if c != value], "r.*", F.when(~F.col("r.type").isin(KNOWN), F.concat(F.lit("unknown message type: "), F.col("r.type"))).alias("error"))
 
 
