@@ -199,15 +199,14 @@ def repeated_in_shard(keys: np.ndarray, data: np.ndarray, offsets: np.ndarray, w
     A suffix is the place of a window. Groups begin as the runs of one key; each pass looks at the next WORD bytes of all
     suffixes left, sorts the groups that disagree there, and drops suffixes that stand alone.
     """
+    # Runs by key, then their places: 32 bits each, as a shard's bytes are few. The owner of a place is found at the end.
     n = np.diff(offsets) - window + 1
-    run = np.repeat(np.arange(len(n)), n)
-    place = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n) + offsets[run]
     order = np.argsort(keys, kind="stable")
-    rank = np.empty(len(keys), np.int64)
-    rank[order] = np.cumsum(np.append(0, keys[order][1:] != keys[order][:-1])) if len(keys) else 0
-    group = rank[run]
-    order = np.argsort(group, kind="stable")
-    place, group, run = place[order], group[order], run[order]
+    rank = np.cumsum(np.append(0, keys[order][1:] != keys[order][:-1]), dtype=np.int32) if len(keys) else np.zeros(0, np.int32)
+    m = n[order]
+    group = np.repeat(rank, m)
+    place = np.arange(len(group), dtype=np.int32)
+    place += np.repeat((offsets[:-1][order] - (np.cumsum(m) - m)).astype(np.int32), m)
     padded = np.concatenate([data, np.zeros(WORD, np.uint8)])
     word = np.zeros(len(data), np.uint64)
     for j in range(WORD):
@@ -221,14 +220,14 @@ def repeated_in_shard(keys: np.ndarray, data: np.ndarray, offsets: np.ndarray, w
         if differs.any():
             broken = np.zeros(int(group[-1]) + 1, bool)
             broken[group[differs]] = True
-            mixed = np.flatnonzero(broken[group])
+            mixed = np.flatnonzero(broken[group]).astype(np.int32)
             turn = mixed[np.lexsort((digit[mixed], group[mixed]))]
-            place[mixed], run[mixed], digit[mixed] = place[turn], run[turn], digit[turn]
+            place[mixed], digit[mixed] = place[turn], digit[turn]
         head = np.append(True, ~together | (digit[1:] != digit[:-1])) if len(group) else np.zeros(0, bool)
         alone = head & np.append(head[1:], True)
-        group = np.cumsum(head)
+        group = np.cumsum(head, dtype=np.int32)
         if alone.any():
-            place, run, group = place[~alone], run[~alone], group[~alone]
+            place, group = place[~alone], group[~alone]
     hit = np.sort(place)
     head = np.flatnonzero(np.append(True, hit[1:] != hit[:-1] + 1)) if len(hit) else np.zeros(0, np.int64)
     owner = np.searchsorted(offsets, hit, "right") - 1
