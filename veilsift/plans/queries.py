@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..dims import THREATS, WEIGHTS, ZERO_WIDTH, confusables, threat_dim
 from ..functions import image as img
 from ..functions import text as tx
-from ..operators import cloaking, evaluation, gateway, history, html_checks, render, scan, unicode_checks
+from ..operators import cloaking, evaluation, gateway, history, html_checks, image_checks, image_tiles, render, scan, unicode_checks
 from ..patterns import instructs, sql
 from ..sources import files
 from ..sources.html import shred
@@ -481,6 +482,54 @@ def regular_singular(spark, sf_dir):
     return img.regular_singular(channel(spark, sf_dir), ["image"], ["y"], "x", "v").select("image", F.round("regular_singular", 6).alias("regular_singular"))
 
 
+def _statistics_sql(pixels: str) -> str:
+    """(image, entropy, chi_square, regular_singular, sample_pairs) of the pixels (image, y, x, v)."""
+    return f"""(WITH px AS (SELECT image, y, x, v FROM {pixels}),
+        bins AS (SELECT image, entropy(v) AS entropy FROM px GROUP BY image),
+        chi AS (SELECT image, coalesce(exp(-sum(t) / (2 * nullif(count(t), 0))), 0) AS chi_square FROM (SELECT image, CASE WHEN n >= 5 THEN 2 * (e - n / 2) * (e - n / 2) / (n / 2) END AS t
+            FROM (SELECT image, v // 2 AS p, count(*) AS n, count(*) FILTER (v % 2 = 0) AS e FROM px GROUP BY ALL)) GROUP BY image),
+        near AS (SELECT image, greatest(0, least(1, (avg((abs(d) <= 1)::INT) - 0.35) / 0.15))::DOUBLE AS sample_pairs FROM (SELECT image, v - lag(v) OVER (PARTITION BY image, y ORDER BY x) AS d FROM px) WHERE d IS NOT NULL GROUP BY image),
+        b AS (SELECT image, y, x // 4 AS k, max(v) FILTER (x % 4 = 0) AS a, max(v) FILTER (x % 4 = 1) AS b, max(v) FILTER (x % 4 = 2) AS c, max(v) FILTER (x % 4 = 3) AS d FROM px GROUP BY ALL),
+        r AS (SELECT image, abs(b - a) + abs(c - b) + abs(d - c) AS f, abs(b - xor(a, 1)) + abs(xor(c, 1) - b) + abs(d - xor(c, 1)) AS e, abs(xor(b, 1) - a) + abs(c - xor(b, 1)) + abs(xor(d, 1) - c) AS o FROM b WHERE d IS NOT NULL),
+        s AS (SELECT image, avg((e > f)::INT) AS rm, avg((e < f)::INT) AS sm, avg((o > f)::INT) AS rn, avg((o < f)::INT) AS sn FROM r GROUP BY image),
+        turned AS (SELECT image, CASE WHEN abs(rm - rn - sm + sn) < 1e-9 THEN 0 ELSE least(1, abs((rn - rm) / (2 * (rm - rn - sm + sn)))) END::DOUBLE AS regular_singular FROM s)
+        SELECT * FROM bins JOIN chi USING (image) JOIN near USING (image) JOIN turned USING (image))"""
+
+
+_STATISTICS = ["entropy", "chi_square", "regular_singular", "sample_pairs"]
+
+
+@query(f"SELECT image, n::BIGINT AS n_pixels, {', '.join(f'round({c}, 6) AS {c}' for c in _STATISTICS)} FROM {_statistics_sql(_CHANNEL)} JOIN (SELECT image, count(*) AS n FROM {_CHANNEL} GROUP BY image) USING (image)")
+def tiled_statistics(spark, sf_dir):
+    """The four statistics from tiles of three to a line."""
+    found = image_tiles.statistics(seeded.tiles(channel(spark, sf_dir)))
+    return found.select("image", "n_pixels", *[F.round(c, 6).alias(c) for c in _STATISTICS])
+
+
+# Verdicts of the seeded pictures: statistics of the red channel, then what the note and the name add.
+_PICTURES = f"""(WITH px AS (SELECT * FROM {seeded.pixels_sql()}), st AS (SELECT * FROM {_statistics_sql("(SELECT image, y, x, r AS v FROM px)")}),
+    each AS (SELECT image, max(kind) AS kind, entropy(g) AS entropy_g, entropy(b) AS entropy_b FROM px GROUP BY image),
+    known AS (SELECT image, kind, kind < 5 OR kind = 7 AS drawn, chi_square AS chi, regular_singular AS rs, sample_pairs AS spa, 0.4 * chi_square + 0.4 * regular_singular + 0.2 * sample_pairs AS combined,
+        greatest(chi_square, regular_singular, sample_pairs) AS most, entropy AS entropy_r, entropy_g, entropy_b, CASE kind WHEN 2 THEN {img.entropy_of(np.frombuffer(seeded.NOTE.encode(), np.uint8))!r} WHEN 4 THEN entropy END AS told FROM st JOIN each USING (image)),
+    j AS (SELECT *, drawn AND (combined >= 0.55 OR chi >= 0.6) AS hidden, coalesce(told >= 6.5, false) AS noisy FROM known),
+    f AS (SELECT *, drawn AND NOT hidden AND most >= 0.35 AS odd FROM j)
+    SELECT *, list_filter([CASE WHEN kind = 3 THEN 'magic_byte_mismatch' END, CASE WHEN kind = 2 THEN 'exif_payload' WHEN noisy THEN 'high_entropy_metadata' END,
+        CASE WHEN hidden THEN 'lsb_steganography' WHEN odd THEN 'high_entropy_pixels' END], lambda t: t IS NOT NULL) AS types FROM f)"""
+_ACTION = "CASE WHEN kind = 6 THEN NULL WHEN len(types) = 0 THEN 'clean' WHEN kind = 3 OR most > 0.75 THEN 'quarantine' ELSE 'deep_scan' END"
+
+
+@query(f"""SELECT image, CASE WHEN kind <> 6 THEN array_to_string(types, '|') END AS threats, (kind <> 6 AND len(types) > 0) AS is_suspicious, {_ACTION} AS action,
+    CASE WHEN drawn THEN 'image/png' END AS detected, CASE WHEN drawn THEN CASE kind WHEN 3 THEN 'image/jpeg' ELSE 'image/png' END END AS claimed, odd AND kind <> 6 AS borderline,
+    {', '.join(f'CASE WHEN drawn THEN round({v}, 6) END::DOUBLE AS {n}' for n, v in (("chi_square", "chi"), ("rs_analysis", "rs"), ("spa", "spa"), ("combined", "combined"), ("entropy_r", "entropy_r"), ("entropy_g", "entropy_g"), ("entropy_b", "entropy_b")))},
+    CASE WHEN kind = 2 OR noisy THEN round(told, 6) END AS max_metadata_entropy FROM {_PICTURES}""")
+def image_triage(spark, sf_dir):
+    """Threats, scores and recommended action of pictures drawn from the vectors, through PNG bytes and back."""
+    t = image_checks.triage(seeded.pictures(table(spark, sf_dir, "embeddings"))).select("image", F.col("triage").alias("t"))
+    scores = [F.round(F.try_element_at("t.scores", F.lit(n)), 6).alias(n) for n in ("chi_square", "rs_analysis", "spa", "combined", "entropy_r", "entropy_g", "entropy_b", "max_metadata_entropy")]
+    borderline = F.coalesce(F.map_contains_key("t.scores", "borderline"), F.lit(False)).alias("borderline")
+    return t.select("image", joined(F.transform("t.threats", lambda x: x["type"])).alias("threats"), F.coalesce("t.is_suspicious", F.lit(False)).alias("is_suspicious"), F.col("t.recommended_action").alias("action"), F.col("t.detected_mime").alias("detected"), F.col("t.claimed_mime").alias("claimed"), borderline, *scores)
+
+
 @query("""SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'image/jpeg' WHEN 1 THEN 'image/png' WHEN 2 THEN 'image/gif' WHEN 3 THEN 'image/webp' WHEN 4 THEN 'image/bmp' WHEN 5 THEN 'image/tiff' END AS detected, 'image/png' AS claimed, p_partkey % 8 IN (0, 2, 3, 4, 5) AS mismatch FROM part""")
 def magic_bytes(spark, sf_dir):
     heads = ["FFD8FFE000104A4649460001", "89504E470D0A1A0A0000000D", "474946383961010001000000", "52494646AAAAAAAA57454250", "424D00000000000000000000", "49492A000800000000000000", "000000000000000000000000", "89504E"]
