@@ -22,13 +22,15 @@ _FACTS = T.StructType(
     [
         T.StructField("fields", T.ArrayType(T.StructType([T.StructField("field", T.StringType()), T.StructField("value", T.BinaryType()), T.StructField("entropy", T.DoubleType())]))),
         T.StructField("pixels", T.StructType([T.StructField(n, T.DoubleType()) for n in ("chi_square", "rs", "spa", "entropy_r", "entropy_g", "entropy_b")])),
+        T.StructField("ms", T.DoubleType()),
     ]
 )
-_ARROW = pa.struct([("fields", pa.list_(pa.struct([("field", pa.string()), ("value", pa.binary()), ("entropy", pa.float64())]))), ("pixels", pa.struct([(n, pa.float64()) for n in ("chi_square", "rs", "spa", "entropy_r", "entropy_g", "entropy_b")]))])
+_ARROW = pa.struct([("fields", pa.list_(pa.struct([("field", pa.string()), ("value", pa.binary()), ("entropy", pa.float64())]))), ("pixels", pa.struct([(n, pa.float64()) for n in ("chi_square", "rs", "spa", "entropy_r", "entropy_g", "entropy_b")])), ("ms", pa.float64())])
 
 
 def facts(df: DataFrame, image: str, out: str, decoded: str | None = None) -> DataFrame:
-    """df with the column out: metadata fields of more than four bytes with their entropy, and statistics of the pixels.
+    """df with the column out: metadata fields of more than four bytes with their entropy, statistics of the pixels, and the
+    milliseconds that took.
 
     Pixels come from the column decoded, a struct of Spark's image source, where there is one, else from an 8-bit PNG.
     """
@@ -36,6 +38,8 @@ def facts(df: DataFrame, image: str, out: str, decoded: str | None = None) -> Da
     at, where = df.columns.index(image), df.columns.index(decoded) if decoded else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from time import perf_counter
+
         import numpy as np
 
         from ..functions.image import chi_square_of, entropy_of, regular_singular_of, sample_pairs_of
@@ -44,13 +48,14 @@ def facts(df: DataFrame, image: str, out: str, decoded: str | None = None) -> Da
         def of(data: bytes | None, seen: dict | None) -> dict | None:
             if data is None or len(data) < 16:
                 return None
+            start = perf_counter()
             fields = [{"field": f, "value": v, "entropy": entropy_of(np.frombuffer(v, np.uint8))} for f, v in metadata(data) if len(v) > FIELD_BYTES]
             px, stats = png_pixels(data) if seen is None else source_pixels(seen), None
             if px is not None and px.size:
                 rgb = px[:, :, :3] if px.shape[2] >= 3 else np.repeat(px[:, :, :1], 3, 2)
                 red = rgb[:, :, 0]
                 stats = {"chi_square": chi_square_of(red), "rs": regular_singular_of(red), "spa": sample_pairs_of(red), **{f"entropy_{c}": entropy_of(rgb[:, :, i]) for i, c in enumerate("rgb")}}
-            return {"fields": fields, "pixels": stats}
+            return {"fields": fields, "pixels": stats, "ms": 1000 * (perf_counter() - start)}
 
         for batch in batches:
             for a in range(0, batch.num_rows, 64):
@@ -99,9 +104,11 @@ def judge(facts: Column, image: Column, filename: Column) -> Column:
     return F.when(F.octet_length(image) >= 16, let(ranked, of)).otherwise(nothing)
 
 
-def triage(df: DataFrame, image: str = "raw", filename: str = "filename", out: str = "triage", decoded: str | None = None) -> DataFrame:
-    """df with the column out, null where there is no image. An image without findings whose pixels nothing decoded is not_analysed."""
+def triage(df: DataFrame, image: str = "raw", filename: str = "filename", out: str = "triage", decoded: str | None = None, took: str | None = None) -> DataFrame:
+    """df with the column out, null where there is no image, and the column took, if named: the milliseconds that reading the
+    image took. An image without findings whose pixels nothing decoded is not_analysed."""
     known = facts(df, image, "_facts", decoded)
+    known = known.withColumn(took, F.col("_facts.ms")) if took else known
     return known.withColumn(out, F.when(F.col(image).isNotNull(), judge(F.col("_facts"), F.col(image), F.col(filename)))).drop("_facts")
 
 
@@ -128,19 +135,21 @@ def channels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def deep_verdict(df: DataFrame, image: str = "raw", out: str = "deep_result", model=None) -> DataFrame:
-    """verdict, confidence, method, detail. Without a model, a function of a list of bytes giving probabilities, all is
+    """verdict, confidence, method, detail, and ms, an image's share of its batch's time. Without a model, a function of a list of bytes giving probabilities, all is
     inconclusive; with one, it sees the images that are not null, and the others get null."""
-    schema = T.StructType([T.StructField("verdict", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("method", T.StringType()), T.StructField("detail", T.StringType())])
+    schema = T.StructType([T.StructField("verdict", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("method", T.StringType()), T.StructField("detail", T.StringType()), T.StructField("ms", T.DoubleType())])
     if model is None:
-        return df.withColumn(out, F.struct(F.lit("inconclusive").alias("verdict"), F.lit(0.0).alias("confidence"), F.lit("unavailable").alias("method"), F.lit("no deep model").alias("detail")))
+        return df.withColumn(out, F.struct(F.lit("inconclusive").alias("verdict"), F.lit(0.0).alias("confidence"), F.lit("unavailable").alias("method"), F.lit("no deep model").alias("detail"), F.lit(None).cast("double").alias("ms")))
 
     @F.pandas_udf(schema)
     def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        from time import perf_counter
+
         for images in batches:
-            there = images.dropna()
+            there, start = images.dropna(), perf_counter()
             p = pd.Series(model([bytes(x) for x in there]) if len(there) else [], index=there.index, dtype=float)
             stego = p > 0.5
-            told = pd.DataFrame({"verdict": stego.map({True: "stego", False: "clean"}).astype(object), "confidence": p.where(stego, 1 - p), "method": "model", "detail": "probability " + p.round(4).astype(str)})
+            told = pd.DataFrame({"verdict": stego.map({True: "stego", False: "clean"}).astype(object), "confidence": p.where(stego, 1 - p), "method": "model", "detail": "probability " + p.round(4).astype(str), "ms": 1000 * (perf_counter() - start) / max(1, len(there))})
             whole = told.reindex(images.index)
             yield whole.astype({c: object for c in ("verdict", "method", "detail")}).where(whole.notna(), None)
 

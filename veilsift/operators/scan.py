@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +28,7 @@ TAGS = "<html|<body|<div|<p>|<span|<!doctype"
 DROPPED_ATTRS = ["aria-description", "aria-details", "data-prompt", "data-instruction", "data-system", "data-ai", "data-llm"]
 INPUTS = ["content", "raw", "content_type", "filename", "deep", "decoded"]
 RESULTS = ["route", "type", "text", "run_image", "threats", "sanitized_content", "tier_timings", "recommended_action", "scores", "safe", "confidence", "threat_count", "max_severity", "has_critical"]
+TIERS = ["t1", "t2", "t3"]
 CHECKED_ATTRS = ["aria-label", "aria-description", "title", "alt", "placeholder"]
 
 
@@ -138,8 +139,9 @@ def sanitize_html(docs: DataFrame, html: str = "html", out: str = "sanitized") -
 
 def scan(docs: DataFrame, model: Callable[[list[bytes]], Sequence[float]] | None = None) -> DataFrame:
     """docs (content, raw, content_type, filename, deep and any others) with route, type, text, run_image, threats,
-    sanitized_content, recommended_action, scores, verdict columns and tier_timings (null values: a row has no wall time of
-    its own).
+    sanitized_content, recommended_action, scores, verdict columns and tier_timings: for each tier that saw the row, the milliseconds that Python
+    workers spent on it (t1: parsing, 0 for texts; t2: reading the image; t3: its share of the model's batch). The checks
+    themselves are expressions that Spark runs row after row in one loop, so they have no time of a single row.
 
     All columns of docs stay as they are; a result whose name one of them has is called scan_ and its name. The pixels of
     images are read from a column decoded if there is one (image_checks.with_pixels joins it to files), else from 8-bit PNG
@@ -153,29 +155,43 @@ def scan(docs: DataFrame, model: Callable[[list[bytes]], Sequence[float]] | None
     others = [c for c in docs.columns if c.lower() not in INPUTS]
     row = [F.struct(*map(named, others)).alias("_row")] if others else []
     df = routed(docs.select(*map(named, given), *row))
-    df = shred(df.withColumn("_html", F.when(F.col("route") == "html", F.col("text"))), "_html", "_nodes")
+    df = shred(df.withColumn("_html", F.when(F.col("route") == "html", F.col("text"))), "_html", "_nodes", "_t1")
     page = F.col("route") == "html"
     df = df.withColumn("_text", F.when(page, html_threats(F.col("_nodes"))).when(F.col("route") == "text", unicode_threats(F.col("text"))).otherwise(no_threats()))
     df = df.withColumn("_gone", F.when(page, removable(F.col("_nodes")))).drop("_nodes")
-    df = triage(df.withColumn("_image", F.when(F.col("run_image"), F.col("raw"))), "_image", "filename", "_triage", "decoded" if "decoded" in map(str.lower, given) else None)
+    df = triage(df.withColumn("_image", F.when(F.col("run_image"), F.col("raw"))), "_image", "filename", "_triage", "decoded" if "decoded" in map(str.lower, given) else None, "_t2")
     gate = F.col("run_image") & (F.octet_length("_image") > 0) & (F.coalesce("_triage.is_suspicious", F.lit(False)) | F.coalesce(F.col("deep"), F.lit(False)))
     df = df.withColumn("_gate", F.coalesce(gate, F.lit(False)))
     if model is None:
-        df = df.withColumn("_deep", no_threats())
+        df = df.withColumns({"_deep": no_threats(), "_t3": F.lit(0.0)})
     else:
         judged = deep_verdict(df.withColumn("_suspect", F.when(F.col("_gate"), F.col("_image"))), "_suspect", "_judged", model)
-        df = judged.withColumn("_deep", deep_threats(F.col("_judged"))).drop("_suspect", "_judged")
+        df = judged.withColumns({"_deep": deep_threats(F.col("_judged")), "_t3": F.coalesce("_judged.ms", F.lit(0.0))}).drop("_suspect", "_judged")
     df = df.withColumn("threats", F.concat("_text", F.coalesce("_triage.threats", no_threats()), "_deep"))
     df = rewrite(df, "_html", "_gone", "_clean")
     df = df.withColumn("sanitized_content", F.when(page, F.col("_clean")).when(F.col("route") == "text", sanitize_text(F.col("text"))))
-    nothing = F.lit(None).cast("int")
-    tiers = F.map_filter(F.create_map(F.lit("t1"), nothing, F.lit("t2"), nothing, F.lit("t3"), nothing), lambda k, v: (k == "t1") | ((k == "t2") & F.col("run_image")) | ((k == "t3") & F.col("_gate")))
+    tier = lambda name, seen: F.when(seen, F.create_map(F.lit(name), F.coalesce(f"_{name}", F.lit(0.0)))).otherwise(F.create_map().cast("map<string,double>"))
+    tiers = F.map_concat(tier("t1", F.lit(True)), tier("t2", F.coalesce("run_image", F.lit(False))), tier("t3", F.col("_gate")))
     df = verdict(df.withColumns({"tier_timings": tiers, "recommended_action": F.col("_triage.recommended_action"), "scores": F.col("_triage.scores")}))
     taken = {c.lower() for c in docs.columns}
     kept = [named(c) if c in given else F.col("_row")[c].alias(c) for c in docs.columns]
     return df.select(*kept, *[F.col(r).alias(f"scan_{r}" if r in taken else r) for r in RESULTS])
 
 
+def observed(scanned: DataFrame, timings: str = "tier_timings") -> tuple[DataFrame, Observation]:
+    """scanned, and an observation that the next action over it fills: see tier_report."""
+    seen = Observation()
+    of = lambda t: F.try_element_at(timings, F.lit(t))
+    metrics = [m for t in TIERS for m in (F.count(of(t)).alias(f"{t}_rows"), F.sum(of(t)).alias(f"{t}_ms"), F.max(of(t)).alias(f"{t}_max_ms"))]
+    return scanned.observe(seen, *metrics), seen
+
+
+def tier_report(seen: Observation) -> dict[str, dict[str, float]]:
+    """By tier: rows that it saw, the milliseconds of them all and of the slowest. Waits for an action over the observed rows; 0 without rows."""
+    got = seen.get
+    return {t: {m: got[f"{t}_{m}"] or 0 for m in ("rows", "ms", "max_ms")} for t in TIERS}
+
+
 def scan_pages(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """(key, threats and verdict) of pages that are known to be HTML; no image checks, no sanitised copy."""
     shredded = shred(pages.select(key, html), html, "_nodes")
@@ -187,4 +203,4 @@ def visible(docs: DataFrame, html: str = "html", out: str = "visible_text") -> D
     return shred(docs, html, "_nodes").withColumn(out, sanitize_text(F.array_join(F.filter(F.transform(F.filter("_nodes", lambda n: n["kind"] == "text"), lambda n: strip(n["text"])), lambda s: s != ""), " "))).drop("_nodes")
 
 
-__all__ = ["confidence", "file_name", "has_critical", "html_threats", "let", "looks_like_html", "max_severity", "mime", "rewrite", "routed", "sanitize_html", "scan", "scan_pages", "verdict", "visible"]
+__all__ = ["confidence", "file_name", "has_critical", "html_threats", "let", "looks_like_html", "max_severity", "mime", "observed", "rewrite", "routed", "sanitize_html", "scan", "scan_pages", "tier_report", "verdict", "visible"]

@@ -149,16 +149,24 @@ def styled(nodes: list[dict]) -> list[dict]:
     return nodes
 
 
-def shred(docs: DataFrame, html: str = "html", out: str = "nodes") -> DataFrame:
-    """docs with the column out: the nodes of each document."""
-    schema = T.StructType([*docs.schema.fields, T.StructField(out, NODES)])
+def shred(docs: DataFrame, html: str = "html", out: str = "nodes", took: str | None = None) -> DataFrame:
+    """docs with the column out: the nodes of each document; and with the column took, if named: the milliseconds that took."""
+    more = [T.StructField(took, T.DoubleType())] if took else []
+    schema = T.StructType([*docs.schema.fields, T.StructField(out, NODES), *more])
     at = docs.columns.index(html)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from time import perf_counter
+
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([styled(parse(x)) for x in part.column(at).to_pylist()], _ARROW)], names=schema.names)
+                nodes, times = [], []
+                for text in part.column(at).to_pylist():
+                    start = perf_counter()
+                    nodes.append(styled(parse(text)))
+                    times.append(1000 * (perf_counter() - start))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(nodes, _ARROW), *([pa.array(times, pa.float64())] if took else [])], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
