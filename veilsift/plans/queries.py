@@ -555,6 +555,64 @@ def normalized_mime(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", scan.mime(F.concat(F.lit(" Text/HTML; charset="), F.col("o_orderstatus"))).alias("type"))
 
 
+# --- whole scans ------------------------------------------------------------------------------
+
+
+def notes_model(images: list[bytes]) -> list[float]:
+    """Stands for a third tier: pictures with a text note hide data."""
+    return [0.9 if b"tEXt" in x else 0.2 for x in images]
+
+
+def seeded_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeded pages, texts and pictures as one table of documents, scanned with all three tiers."""
+    pages = seeded.styled_pages(seeded.pages(table(spark, sf_dir, "pages")))
+    html = pages.select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("content"), F.lit(None).cast("binary").alias("raw"), F.lit("text/html; charset=utf-8").alias("content_type"), F.lit("").alias("filename"), F.lit(False).alias("deep"))
+    texts = seeded_texts(spark, sf_dir).select(F.lit("text").alias("kind"), F.col("doc_id").alias("id"), F.col("text").alias("content"), F.lit(None).cast("binary").alias("raw"), F.lit("text/plain").alias("content_type"), F.lit("").alias("filename"), F.lit(False).alias("deep"))
+    pictures = seeded.pictures(table(spark, sf_dir, "embeddings"))
+    drawn = pictures.select(F.lit("picture").alias("kind"), F.col("image").alias("id"), F.lit(None).cast("string").alias("content"), "raw", F.lit("image/png").alias("content_type"), "filename", (F.col("image") % 5 == 0).alias("deep"))
+    return scan.scan(html.unionByName(texts).unionByName(drawn), notes_model)
+
+
+_CLEAN_TEXT = rf"translate(regexp_replace(coalesce(text, ''), '{_ZW[:-1]}\x{{FE00}}-\x{{FE0F}}\x{{E0100}}-\x{{E01EF}}]', '', 'g'), '{_KEYS}', '{_TARGETS}')"
+_SCANS = f"""(SELECT 'page' AS kind, page_id AS id, 'html' AS route, list_concat(CASE WHEN {seeded.style_sql(2)} <> '' THEN ['css_hidden_text'] ELSE [] END, CASE WHEN page_id % 8 < 7 THEN [{_by_seed([f"'{k}'" for k in _KINDS], "''")}] ELSE [] END) AS types,
+        NULL AS action, md5(replace(CASE WHEN contains(w, '</body>') THEN w ELSE w || '</body></html>' END, '</body>', left_over || '</body>')) AS sanitized_md5, 1 AS tiers
+        FROM (SELECT page_id, url, {_WRITTEN} AS w, {_LEFT} || {seeded.style_sql(4)} AS left_over FROM pages)
+    UNION ALL SELECT 'text', doc_id, 'text', CASE WHEN text IS NULL THEN [] ELSE CASE doc_id % 6 WHEN 0 THEN ['zero_width_chars'] WHEN 1 THEN CASE WHEN 300.0 / (length(text) - 3) > 5 THEN ['zero_width_chars'] ELSE [] END
+        WHEN 2 THEN ['variation_selector'] WHEN 3 THEN ['homoglyph'] WHEN 4 THEN ['homoglyph'] ELSE [] END END, NULL, md5({_CLEAN_TEXT}), 1 FROM {seeded.documents_sql()}
+    UNION ALL SELECT 'picture', image, CASE WHEN kind = 6 THEN 'text' ELSE 'image' END, CASE WHEN kind = 6 THEN [] WHEN gate AND kind IN (2, 4) THEN list_append(types, 'lsb_steganography') ELSE types END,
+        {_ACTION}, CASE WHEN kind = 6 THEN md5('') END, CASE WHEN kind = 6 THEN 1 WHEN gate THEN 3 ELSE 2 END FROM (SELECT *, len(types) > 0 OR image % 5 = 0 AS gate FROM {_PICTURES}))"""
+_GRAVEST = "CASE " + " ".join(f"WHEN list_has_any(types, [{', '.join(repr(x[0]) for x in THREATS if x[2] == s)}]) THEN '{s}'" for s in ("critical", "high", "medium")) + " END"
+
+
+@query(f"""SELECT kind, id, route, array_to_string(types, '|') AS threats, len(types)::BIGINT AS threat_count, len(types) = 0 AS safe, {_GRAVEST} AS max_severity, action, sanitized_md5,
+    CASE WHEN len(types) = 0 THEN 1.0 ELSE round(least(0.99, CASE {_GRAVEST} WHEN 'critical' THEN 0.95 WHEN 'high' THEN 0.85 ELSE 0.65 END + least(0.05, 0.01 * (len(types) - 1))), 6) END::DOUBLE AS confidence FROM {_SCANS}""")
+def scan_documents(spark, sf_dir):
+    """The whole scan, three tiers and sanitised content, of pages, texts and pictures."""
+    s = seeded_scans(spark, sf_dir)
+    return s.select("kind", "id", "route", joined(F.transform("threats", lambda t: t["type"])).alias("threats"), "threat_count", "safe", "max_severity", F.col("recommended_action").alias("action"), F.md5("sanitized_content").alias("sanitized_md5"), F.round("confidence", 6).alias("confidence"))
+
+
+@query(f"SELECT 't' || tier AS tier, (count(*) FILTER (tiers >= tier))::BIGINT AS n, true AS timed FROM {_SCANS}, (SELECT unnest([1, 2, 3]) AS tier) GROUP BY tier")
+def tier_timings(spark, sf_dir):
+    """Rows by tier as the engine observed them while it scanned, and whether it took a time of each tier."""
+    watched, seen = scan.observed(seeded_scans(spark, sf_dir))
+    watched.write.format("noop").mode("overwrite").save()
+    found = [(t, int(m["rows"]), 0 <= m["max_ms"] <= m["ms"]) for t, m in scan.tier_report(seen).items()]
+    return spark.createDataFrame(found, "tier string, n bigint, timed boolean")
+
+
+@query(f"""SELECT url, CASE WHEN id % 7 = 0 THEN 'fetch_failure' WHEN cloaked THEN 'dynamic_cloaking' ELSE '' END AS threats, id % 7 <> 0 AND NOT cloaked AS safe, CASE WHEN id % 7 = 0 THEN 0.98 WHEN cloaked THEN 0.95 ELSE 1.0 END::DOUBLE AS confidence,
+    CASE WHEN id % 7 = 0 THEN 'high' WHEN cloaked THEN 'critical' END AS max_severity, id % 7 <> 0 AS sanitized FROM (SELECT url, split_part(url, '/', 4)::BIGINT AS id, d >= 0.05 AND x > 0 AS cloaked FROM (SELECT url,
+    CASE WHEN len(list_distinct(list_concat(human, agent))) = 0 THEN 0 ELSE 1 - len(list_intersect(human, agent)) / len(list_distinct(list_concat(human, agent))) END AS d,
+    len(list_filter(agent, lambda b: NOT list_contains(human, b)))::INT AS x FROM {seeded.fetches_sql(200)}))""")
+def scan_fetches(spark, sf_dir):
+    """Whole texts as fetched pages, every seventh of them failed for people: failures, cloaking, and the page's own scan."""
+    fetched = seeded.fetches(table(spark, sf_dir, "documents"), 200)
+    lost = (F.substring_index("url", "/", -1).cast("long") % 7 == 0) & (F.col("ua_class") == "human")
+    s = cloaking.scan_fetches(fetched.filter("body is not null").withColumn("status", F.when(lost, 503).otherwise(F.col("status"))))
+    return s.select("url", joined(F.transform("threats", lambda t: t["type"])).alias("threats"), "safe", F.round("confidence", 6).alias("confidence"), "max_severity", F.col("sanitized_content").isNotNull().alias("sanitized"))
+
+
 # --- streaming --------------------------------------------------------------------------------
 
 
