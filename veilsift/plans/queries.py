@@ -448,6 +448,18 @@ def latency_statistics(spark, sf_dir):
     return evaluation.latency(rows).withColumn("mean_ms", F.round("mean_ms", 6))
 
 
+@query(ORACLE["confusion_matrix"])
+def reported_confusion(spark, sf_dir):
+    """The confusion table written as a report and read back from it."""
+    from ..sources.samples import register as with_formats
+    from ..streaming.history import shared_dir
+
+    with_formats(spark)
+    path, found = f"{shared_dir(spark)}/report", confusion_matrix(spark, sf_dir)
+    found.write.format("report").option("layout", "csv").mode("overwrite").save(path)
+    return spark.read.schema(found.schema).option("header", True).csv(path)
+
+
 _CHANNEL = "(SELECT vec_id % 50 AS image, vec_id // 50 AS y, x - 1 AS x, floor((embedding[x]::DOUBLE + 1) * 127.5)::INT & 255 AS v FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS x FROM embeddings))"
 
 

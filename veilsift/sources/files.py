@@ -34,7 +34,7 @@ def sniff(content: Column) -> Column:
 
 
 def read_documents(spark: SparkSession, path: str, deep: bool = False, pattern: str | None = None) -> DataFrame:
-    """(path, content, raw, content_type, filename, deep) of files; text types that are valid UTF-8 become strings. A missing path raises."""
+    """(path, content, raw, content_type, filename, deep) of files; text types that are valid UTF-8 become strings. A missing path raises; empty files make no row, as in Spark's binaryFile source."""
     reader = spark.read.format("binaryFile")
     files = (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path)
     kind = F.coalesce(_lookup(extension(F.col("path")), {**EXTENSIONS, **TEXT_EXTENSIONS}), sniff(F.col("content")), F.lit("application/octet-stream"))
@@ -50,7 +50,8 @@ def from_base64(docs: DataFrame) -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, manifest: str, samples: str) -> DataFrame:
-    """Entries of a JSON manifest with the bytes of their files; entries without a file go."""
+    """Entries of a JSON manifest with the bytes of their files; entries without a file go, and, as Spark's binaryFile source reads none, those with an
+    empty file; the format labelled_samples (sources.samples) keeps these."""
     files = spark.read.format("binaryFile").load(samples).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("content").alias("raw"))
     return spark.read.option("multiLine", True).json(manifest).join(files, "file")
 
