@@ -13,6 +13,9 @@ from collections.abc import Iterator
 import numpy as np
 
 PNG = b"\x89PNG\r\n\x1a\n"
+#: A small file can unpack to any size: pixels beyond the first bound are not decoded, and of a packed text or profile no
+#: more than the second is unpacked.
+MAX_PIXEL_BYTES, MAX_FIELD_BYTES = 256 << 20, 16 << 20
 
 
 def png_chunks(data: bytes) -> Iterator[tuple[bytes, bytes]]:
@@ -62,6 +65,11 @@ def exif_fields(tiff: bytes) -> list[tuple[str, bytes]]:
     return out
 
 
+def inflate(data: bytes, most: int) -> bytes:
+    """Unpacked data, most bytes of it at most."""
+    return zlib.decompressobj().decompress(data, max(1, most))
+
+
 def metadata(data: bytes) -> list[tuple[str, bytes]]:
     """(field, value) of an image's metadata: EXIF tags, PNG text chunks, JPEG and GIF comments."""
     out: list[tuple[str, bytes]] = []
@@ -72,14 +80,14 @@ def metadata(data: bytes) -> list[tuple[str, bytes]]:
                 if kind == b"tEXt":
                     out.append((name.decode("latin-1"), rest))
                 elif kind == b"zTXt":
-                    out.append((name.decode("latin-1"), zlib.decompress(rest[1:])))
+                    out.append((name.decode("latin-1"), inflate(rest[1:], MAX_FIELD_BYTES)))
                 elif kind == b"iTXt" and len(rest) > 2:
                     text = rest[2:].split(b"\0", 2)[-1]
-                    out.append((name.decode("latin-1"), zlib.decompress(text) if rest[0] else text))
+                    out.append((name.decode("latin-1"), inflate(text, MAX_FIELD_BYTES) if rest[0] else text))
                 elif kind == b"eXIf":
                     out += exif_fields(body)
                 elif kind == b"iCCP":
-                    out.append(("icc_profile", zlib.decompress(rest[1:])))
+                    out.append(("icc_profile", inflate(rest[1:], MAX_FIELD_BYTES)))
         elif data.startswith(b"\xff\xd8\xff"):
             for marker, body, _, _ in jpeg_segments(data):
                 if marker == 0xE1 and body.startswith(b"Exif\0\0"):
@@ -96,45 +104,59 @@ def metadata(data: bytes) -> list[tuple[str, bytes]]:
 
 
 def png_pixels(data: bytes) -> np.ndarray | None:
-    """Height x width x channels of an 8-bit PNG without interlacing, palette resolved; None for anything else."""
+    """Height x width x channels of an 8-bit PNG without interlacing, palette resolved; None for anything else, and for
+    pictures whose header names more than MAX_PIXEL_BYTES."""
     try:
-        head, raw, palette = None, b"", None
+        head, packed, palette = None, [], None
         for kind, body in png_chunks(data):
             if kind == b"IHDR":
                 head = struct.unpack(">IIBBBBB", body)
             elif kind == b"PLTE":
                 palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
             elif kind == b"IDAT":
-                raw += body
+                packed.append(body)
         width, height, depth, color, _, _, interlace = head
         n = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[color]
-        if depth != 8 or interlace:
+        size = height * (1 + width * n)
+        if depth != 8 or interlace or size > MAX_PIXEL_BYTES:
             return None
-        flat = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(height, 1 + width * n)
-        out = np.zeros((height, width * n), np.int64)
-        for y in range(height):
-            line, above = flat[y, 1:].astype(np.int64), out[y - 1] if y else np.zeros(width * n, np.int64)
-            kind = flat[y, 0]
-            if kind == 1:
-                line = np.cumsum(line.reshape(width, n), 0).ravel()
-            elif kind == 2:
-                line = line + above
-            elif kind in (3, 4):
-                for x in range(width * n):
-                    a, b, c = (line[x - n], above[x], above[x - n]) if x >= n else (0, above[x], 0)
-                    if kind == 3:
-                        guess = (a + b) // 2
-                    else:
-                        p = a + b - c
-                        guess = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
-                    line[x] = (line[x] + guess) & 255
-            out[y] = line & 255
-        pixels = out.astype(np.uint8).reshape(height, width, n)
+        flat = np.frombuffer(inflate(b"".join(packed), size), np.uint8).reshape(height, 1 + width * n)
+        pixels = unfiltered(flat[:, 0], flat[:, 1:].reshape(height, width, n))
         return palette[pixels[:, :, 0]] if palette is not None and color == 3 else pixels
     except (TypeError, KeyError, ValueError, struct.error, zlib.error, IndexError):
         return None
 
 
+def unfiltered(kinds: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """The values of a PNG's lines (height x width x channels) from their differences, by each line's kind of filter.
+
+    Where a line leans on values to its left and above at once, cells of one anti-diagonal need only earlier ones, so all
+    lines advance together, a diagonal at a time.
+    """
+    height, width, n = lines.shape
+    if not np.isin(kinds, (3, 4)).any():
+        out = np.zeros((height, width, n), np.uint8)
+        for y in range(height):
+            line = np.cumsum(lines[y], 0, dtype=np.uint8) if kinds[y] == 1 else lines[y]
+            out[y] = line + out[y - 1] if kinds[y] == 2 and y else line
+        return out
+    padded = np.zeros((height + 1, width + 1, n), np.int16)
+    flat, source = padded.reshape(-1, n), lines.astype(np.int16).reshape(-1, n)
+    for t in range(width + height - 1):
+        first, last = max(0, t - width + 1), min(height - 1, t)  # lines on this diagonal; line y is at column t - y
+        count, kind = last - first + 1, kinds[first : last + 1, None]
+        at = (first + 1) * (width + 1) + t - first + 1
+        along = lambda start: flat[start : start + (count - 1) * width + 1 : width]  # noqa: B023, E731
+        here, left, up, corner = along(at), along(at - 1), along(at - width - 1), along(at - width - 2)
+        guess = left + up - corner
+        to_left, to_up, to_corner = np.abs(guess - left), np.abs(guess - up), np.abs(guess - corner)
+        nearest = np.where((to_left <= to_up) & (to_left <= to_corner), left, np.where(to_up <= to_corner, up, corner))
+        added = np.select([kind == 1, kind == 2, kind == 3, kind == 4], [left, up, (left + up) >> 1, nearest], 0)
+        begin, step = first * width + t - first, max(1, width - 1)
+        here[:] = (source[begin : begin + (count - 1) * step + 1 : step] + added) & 255
+    return padded[1:, 1:].astype(np.uint8)
+
+
 def source_pixels(image: dict) -> np.ndarray | None:
     """Height x width x channels, RGB or grey, of a row of Spark's image source, which keeps BGR(A) bytes."""
     n = image["nChannels"]
