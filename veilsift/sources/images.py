@@ -35,34 +35,83 @@ def jpeg_segments(data: bytes) -> Iterator[tuple[int, bytes, int, int]]:
         at += 2 + size
 
 
-# Names of EXIF tags that carry text, by directory.
-TAG_NAMES = {0x010E: "0th/ImageDescription", 0x010F: "0th/Make", 0x0110: "0th/Model", 0x0131: "0th/Software", 0x013B: "0th/Artist", 0x8298: "0th/Copyright", 0x9286: "Exif/UserComment", 0x9C9B: "0th/XPTitle", 0x9C9C: "0th/XPComment", 0x9C9E: "0th/XPKeywords"}
+# Names of EXIF tags that carry text, by directory; the thumbnail's directory, 1st, has the names of 0th.
+TAG_NAMES = {
+    "0th": {0x010E: "ImageDescription", 0x010F: "Make", 0x0110: "Model", 0x0131: "Software", 0x013B: "Artist", 0x02BC: "XMLPacket", 0x8298: "Copyright", 0x83BB: "IPTCNAA", 0x9C9B: "XPTitle", 0x9C9C: "XPComment", 0x9C9D: "XPAuthor", 0x9C9E: "XPKeywords", 0x9C9F: "XPSubject"},
+    "Exif": {0x9003: "DateTimeOriginal", 0x927C: "MakerNote", 0x9286: "UserComment", 0xA420: "ImageUniqueID", 0xA433: "LensMake", 0xA434: "LensModel"},
+    "GPS": {0x001B: "GPSProcessingMethod", 0x001C: "GPSAreaInformation", 0x001D: "GPSDateStamp"},
+}
 
 
-def exif_fields(tiff: bytes) -> list[tuple[str, bytes]]:
-    """Byte and text values of a TIFF structure's directories."""
+def exif_places(tiff: bytes) -> Iterator[tuple[str, int, int, int]]:
+    """(directory, tag, start, end) of the byte and text values of a TIFF structure's directories."""
     order = {b"II": "<", b"MM": ">"}.get(tiff[:2])
     if order is None or len(tiff) < 8:
-        return []
-    out, todo, done = [], [struct.unpack(order + "I", tiff[4:8])[0]], set()
+        return
+    todo, done = [("0th", struct.unpack(order + "I", tiff[4:8])[0])], set()
     while todo:
-        at = todo.pop()
-        if at in done or at + 2 > len(tiff):
+        directory, at = todo.pop(0)
+        if at in done or at < 8 or at + 2 > len(tiff):
             continue
         done.add(at)
         n = struct.unpack(order + "H", tiff[at : at + 2])[0]
-        for k in range(n):
-            entry = tiff[at + 2 + 12 * k : at + 14 + 12 * k]
-            if len(entry) < 12:
-                break
-            tag, kind, count = struct.unpack(order + "HHI", entry[:8])
+        for start in range(at + 2, min(at + 2 + 12 * n, len(tiff) - 11), 12):
+            tag, kind, count, value = struct.unpack(order + "HHII", tiff[start : start + 12])
             if tag in (0x8769, 0x8825):
-                todo.append(struct.unpack(order + "I", entry[8:])[0])
+                todo.append(("Exif" if tag == 0x8769 else "GPS", value))
             elif kind in (1, 2, 7):
-                where = struct.unpack(order + "I", entry[8:])[0]
-                value = entry[8 : 8 + count] if count <= 4 else tiff[where : where + count]
-                out.append((TAG_NAMES.get(tag, f"0x{tag:04X}"), value))
-    return out
+                begin = start + 8 if count <= 4 else value
+                yield directory, tag, begin, begin + count
+        following = tiff[at + 2 + 12 * n : at + 6 + 12 * n]
+        if directory in ("0th", "1st") and len(following) == 4:
+            todo.append(("1st", struct.unpack(order + "I", following)[0]))
+
+
+def exif_fields(tiff: bytes) -> list[tuple[str, bytes]]:
+    """Byte and text values of a TIFF structure's directories, named by directory and tag."""
+    tiff = tiff.removeprefix(b"Exif\0\0")
+    name = lambda d, tag: TAG_NAMES["0th" if d == "1st" else d].get(tag, f"0x{tag:04X}")
+    return [(f"{d}/{name(d, tag)}", tiff[start:end]) for d, tag, start, end in exif_places(tiff)]
+
+
+def is_webp(data: bytes) -> bool:
+    return data[:4] == b"RIFF" and data[8:12] == b"WEBP"
+
+
+def riff_chunks(data: bytes) -> Iterator[tuple[bytes, bytes]]:
+    at = 12
+    while at + 8 <= len(data):
+        kind, size = struct.unpack("<4sI", data[at : at + 8])
+        yield kind, data[at + 8 : at + 8 + size]
+        at += 8 + size + size % 2
+
+
+def gif_blocks(data: bytes) -> Iterator[tuple[bytes, int, int]]:
+    """(kind, start, end) of a GIF's blocks behind its header and colours: an extension's two bytes, an image's or the trailer's one."""
+    colours = lambda flags: 3 << ((flags & 7) + 1) if flags & 0x80 else 0
+    at = 13 + colours(data[10])
+    while at < len(data):
+        start, kind = at, data[at : at + (2 if data[at] == 0x21 else 1)]
+        if data[at] == 0x21:
+            at += 2
+        elif data[at] == 0x2C:
+            at += 11 + colours(data[at + 9])
+        else:
+            yield kind, start, len(data)
+            return
+        while data[at]:
+            at += 1 + data[at]
+        at += 1
+        yield kind, start, at
+
+
+def gif_text(data: bytes, start: int, end: int) -> bytes:
+    """The text of an extension's parts."""
+    out, at = [], start + 2
+    while at < end and data[at]:
+        out.append(data[at + 1 : at + 1 + data[at]])
+        at += 1 + data[at]
+    return b"".join(out)
 
 
 def inflate(data: bytes, most: int) -> bytes:
@@ -71,7 +120,7 @@ def inflate(data: bytes, most: int) -> bytes:
 
 
 def metadata(data: bytes) -> list[tuple[str, bytes]]:
-    """(field, value) of an image's metadata: EXIF tags, PNG text chunks, JPEG and GIF comments."""
+    """(field, value) of an image's metadata: EXIF tags of JPEG, PNG, WebP and TIFF, text chunks, packets, profiles and comments."""
     out: list[tuple[str, bytes]] = []
     try:
         if data.startswith(PNG):
@@ -95,9 +144,15 @@ def metadata(data: bytes) -> list[tuple[str, bytes]]:
                 elif marker == 0xFE:
                     out.append(("comment", body))
         elif data[:6] in (b"GIF87a", b"GIF89a"):
-            at = data.find(b"\x21\xfe")
-            if at >= 0 and at + 3 < len(data):
-                out.append(("comment", data[at + 3 : at + 3 + data[at + 2]]))
+            out += [("comment", gif_text(data, start, end)) for kind, start, end in gif_blocks(data) if kind == b"\x21\xfe"]
+        elif is_webp(data):
+            for kind, body in riff_chunks(data):
+                if kind == b"EXIF":
+                    out += exif_fields(body)
+                elif kind in (b"XMP ", b"ICCP"):
+                    out.append(("xmp" if kind == b"XMP " else "icc_profile", body))
+        elif data[:4] in (b"II*\0", b"MM\0*"):
+            out += [f for f in exif_fields(data) if not f[0].startswith(("0th/0x", "1st/0x"))]
     except (struct.error, zlib.error, IndexError):
         pass
     return out
@@ -177,7 +232,15 @@ def write_png(pixels: np.ndarray, text: dict[str, str] | None = None) -> bytes:
 
 
 def strip_metadata(data: bytes) -> bytes:
-    """Without PNG text, EXIF and time chunks, or JPEG application and comment segments; other bytes stay as they are."""
+    """Without PNG text, EXIF and time chunks, JPEG application and comment segments, WebP packets and profiles, GIF comments
+    and applications (loops stay); a TIFF's texts become zeros. Other bytes stay, as do files that end in mid-structure."""
+    try:
+        return _stripped(data)
+    except (struct.error, IndexError):
+        return data
+
+
+def _stripped(data: bytes) -> bytes:
     if data.startswith(PNG):
         out = PNG
         for kind, body in png_chunks(data):
@@ -191,4 +254,22 @@ def strip_metadata(data: bytes) -> bytes:
                 out += data[start:end]
             last = end
         return out + data[last:]
+    if is_webp(data):
+        body = b""
+        for kind, chunk in riff_chunks(data):
+            if kind == b"VP8X" and chunk:
+                chunk = bytes([chunk[0] & ~0x2C]) + chunk[1:]  # its flags for profile, EXIF and packet
+            if kind not in (b"EXIF", b"XMP ", b"ICCP"):
+                body += kind + struct.pack("<I", len(chunk)) + chunk + b"\0" * (len(chunk) % 2)
+        return b"RIFF" + struct.pack("<I", 4 + len(body)) + b"WEBP" + body
+    if data[:6] in (b"GIF87a", b"GIF89a"):
+        blocks = list(gif_blocks(data))
+        gone = lambda kind, start, end: kind == b"\x21\xfe" or (kind == b"\x21\xff" and data[start + 3 : start + 14] != b"NETSCAPE2.0")
+        return data[: blocks[0][1]] + b"".join(data[start:end] for kind, start, end in blocks if not gone(kind, start, end))
+    if data[:4] in (b"II*\0", b"MM\0*"):
+        out = bytearray(data)
+        for directory, tag, start, end in exif_places(data):
+            if directory in ("Exif", "GPS") or tag in TAG_NAMES["0th"]:
+                out[start:end] = bytes(len(out[start:end]))
+        return bytes(out)
     return data
