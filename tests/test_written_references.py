@@ -27,3 +27,10 @@ def test_written_texts_read_the_same(html):
 def test_shredding_leaves_them_out(spark):
     df = shred(spark.createDataFrame([("<p>&am</p>",)], "html string"), "html", "nodes")
     assert df.selectExpr("nodes.text").first().text[-1] == "&am"
+
+
+def test_whole_scan_writes_them_too(spark):
+    docs = spark.createDataFrame([(1, "<html><head><title>a &am</title></head><body><p>b &amp</p></body></html>"), (2, "a &am b")], "id int, content string")
+    docs = docs.selectExpr("*", "cast(null as binary) raw", "if(id = 1, 'text/html', 'text/plain') content_type", "cast(null as string) filename", "false deep")
+    got = {r.id: r.sanitized_content for r in scan.scan(docs).collect()}
+    assert got == {r.id: r.content for r in docs.collect()}
